@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.bpe import encode_corpus
+from quernstone.llm.neighbours import found_pairs, nearest
 from quernstone.llm.packing import pack
 from quernstone.llm.split import split_oversized
 from quernstone.session import spread, table
@@ -28,6 +29,16 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_pieces(spark, sf_dir).withColumnRenamed("key", "chunk_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of usable vectors of one model with a cosine of at least 0.95."""
+    return found_pairs(spark, sf_dir)
+
+
+def p3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors for the rows whose id is divisible by 20, against all rows."""
+    return nearest(spark, sf_dir)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"))
@@ -54,6 +65,8 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p3_found": p3_found,
+    "p3_knn": p3_knn,
     "p8_ids": p8_ids,
     "p9_pack": p9_pack,
     "p9_fill": p9_fill,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.bpe import encode_corpus
 from quernstone.llm.neighbours import found_pairs, nearest
 from quernstone.llm.packing import pack
+from quernstone.llm.residue import residue
 from quernstone.llm.split import split_oversized
 from quernstone.session import spread, table
 
@@ -39,6 +40,17 @@ def p3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir)
 
 
+def p6_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question fields that hold template residue, filler, an error page or a script notice, with kind and coverage."""
+    prose = table(spark, sf_dir, "answers").select(F.col("draft").alias("text"))
+    return residue(spread(table(spark, sf_dir, "questions").select("id", "title", "description")), spread(prose))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields to keep out."""
+    return p6_residue(spark, sf_dir).select("question_id", "field_name")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"))
@@ -67,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pieces": p1_pieces,
     "p3_found": p3_found,
     "p3_knn": p3_knn,
+    "p6_found": p6_found,
+    "p6_residue": p6_residue,
     "p8_ids": p8_ids,
     "p9_pack": p9_pack,
     "p9_fill": p9_fill,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.bpe import encode_corpus
 from quernstone.llm.neighbours import found_pairs, nearest
 from quernstone.llm.packing import pack
+from quernstone.llm.pairs import judge_pairs
 from quernstone.llm.residue import residue
 from quernstone.llm.split import split_oversized
 from quernstone.session import spread, table
@@ -40,6 +41,17 @@ def p3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defective draft or edited answer with its defect."""
+    bad = p6_residue(spark, sf_dir).where("field_name = 'title'").select("question_id")
+    return judge_pairs(
+        table(spark, sf_dir, "answers").select("id", "question_id", "draft", "edited"),
+        table(spark, sf_dir, "questions").select("id", "title"),
+        bad,
+        spread(table(spark, sf_dir, "documents").select("lang", "text")),
+    )
+
+
 def p6_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question fields that hold template residue, filler, an error page or a script notice, with kind and coverage."""
     prose = table(spark, sf_dir, "answers").select(F.col("draft").alias("text"))
@@ -79,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pieces": p1_pieces,
     "p3_found": p3_found,
     "p3_knn": p3_knn,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_residue": p6_residue,
     "p8_ids": p8_ids,

@@ -11,6 +11,7 @@ from quernstone.llm.bpe import encode_corpus
 from quernstone.llm.neighbours import found_pairs, nearest
 from quernstone.llm.packing import pack
 from quernstone.llm.pairs import judge_pairs
+from quernstone.llm.pii import mentions, redacted
 from quernstone.llm.residue import residue
 from quernstone.llm.split import split_oversized
 from quernstone.session import spread, table
@@ -86,6 +87,16 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of personal information in documents.text."""
+    return mentions(table(spark, sf_dir, "documents"))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every documents.text with typed placeholders."""
+    return redacted(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -97,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_pack": p9_pack,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 #: DuckDB has the same trimmed length without the pieces.

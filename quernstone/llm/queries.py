@@ -13,6 +13,7 @@ from quernstone.llm.packing import pack
 from quernstone.llm.pairs import judge_pairs
 from quernstone.llm.pii import mentions, redacted
 from quernstone.llm.residue import residue
+from quernstone.llm.scans import damage, repaired
 from quernstone.llm.split import split_oversized
 from quernstone.session import spread, table
 
@@ -49,10 +50,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "answers").select("id", "question_id", "draft", "edited"),
         table(spark, sf_dir, "questions").select("id", "title"),
         bad,
-        spread(table(spark, sf_dir, "documents").select("lang", "text")),
+        spread(table(spark, sf_dir, "documents").where("lower(substring(lang, 1, 2)) in ('en', 'de', 'fr', 'es')").select("lang", "text")),
     )
 
 
+def p5_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged lines of scanned pages with the joined word or correction."""
+    return damage(table(spark, sf_dir, "documents"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged lines of scanned pages."""
+    return p5_damage(spark, sf_dir).select("doc_id", "line_no", "kind")
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pdf documents as continuous readable paragraphs."""
+    return repaired(table(spark, sf_dir, "documents"))
+
+
 def p6_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question fields that hold template residue, filler, an error page or a script notice, with kind and coverage."""
     prose = table(spark, sf_dir, "answers").select(F.col("draft").alias("text"))
@@ -103,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_knn": p3_knn,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_damage": p5_damage,
+    "p5_repaired": p5_repaired,
     "p6_found": p6_found,
     "p6_residue": p6_residue,
     "p8_ids": p8_ids,

@@ -38,7 +38,7 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
+def spread(df: DataFrame, *keys: str, per_core: int = 1) -> DataFrame:
     """``df`` over at least ``per_core`` partitions a core, so that one small file doesn't mean one task.
 
     A frame that already has as many partitions stays as it is: no shuffle at scale."""

@@ -12,6 +12,7 @@ become contexts themselves.  The second pass then finds full names, parts and ni
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,21 +32,33 @@ SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "零": "0", "〇": "0", "幺": "1", "一": "1", "二": "2", "两": "2", "三": "3", "四": "4", "五": "5", "六": "6", "七": "7", "八": "8", "九": "9",
 }
-_wide = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {0x3000: " "}
+_wide = {c: chr(c - 0xFEE0) for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), 0xFF20, 0xFF0B, 0xFF0D, 0xFF0E, 0xFF3F)}
 _spelled_run = regex.compile(r"(?i)(?:\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b[ -]?){7,}|[零〇幺一二两三四五六七八九]{7,}")
 _spelled_one = regex.compile(r"(?i)zero|oh|one|two|three|four|five|six|seven|eight|nine|[零〇幺一二两三四五六七八九]")
 _mixed = regex.compile(r"[A-Za-z][\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][A-Za-z]")
 _disguise = re.compile(r"\s?[\[({<]\s?(?:at|AT|At|艾特)\s?[\])}>]\s?|\s?[\[({<]\s?(?:dot|DOT|Dot|点)\s?[\])}>]\s?|(?<=[\w])\s(?:AT|at)\s(?=[\w.-]+\s(?:DOT|dot)\s)|(?<=\w)\s(?:DOT|dot)\s(?=\w)|(?<=\w)#at#(?=\w)")
 
 
+#: Cheap signs that a transducer has something to do.
+_foreign = re.compile("[Ͱ-ӿ]")
+_disguised = ("(at", "[at", "{at", "<at", "( at", "[ at", "(AT", "[AT", "(At", "[At", "艾特", "#at#", " dot ", " DOT ", "[dot", "(dot", "[DOT", "(DOT", "(点", "[点")
+_digit_words = re.compile("[零〇幺一二两三四五六七八九]{7}")
+_number_words = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "One", "Two", "Three", "Seven", "Nine", "Zero")
+_digit = re.compile("[0-9]")
+_any_wide = re.compile("[０-９Ａ-Ｚａ-ｚ＠＋－．＿]")
+
+
 def normalise(text: str) -> tuple[str, np.ndarray | None]:
     """The text for detection and, unless lengths are kept, each character's (start, end) in the source."""
-    t = text.translate(_wide)
-    if _mixed.search(t):
+    t = text.translate(_wide) if _any_wide.search(text) else text
+    if _foreign.search(t) and _mixed.search(t):
         t = "".join(LOOKALIKE.get(c, c) for c in t)
-    edits = [(m.start(), m.end(), "@" if "at" in m.group().lower() or "艾" in m.group() else ".") for m in _disguise.finditer(t)]
-    for m in _spelled_run.finditer(t):
-        edits += [(m.start() + d.start(), m.start() + d.end(), SPELLED[d.group().lower()]) for d in _spelled_one.finditer(m.group())]
+    edits = []
+    if any(x in t for x in _disguised):
+        edits = [(m.start(), m.end(), "@" if "at" in m.group().lower() or "艾" in m.group() else ".") for m in _disguise.finditer(t)]
+    if _digit_words.search(t) or sum(x in t for x in _number_words) >= 3:
+        for m in _spelled_run.finditer(t):
+            edits += [(m.start() + d.start(), m.start() + d.end(), SPELLED[d.group().lower()]) for d in _spelled_one.finditer(m.group())]
     if not edits:
         return t, None
     edits.sort()
@@ -72,8 +85,8 @@ NOT_BEFORE = re.compile(
 )
 PHONE = re.compile(
     r"(?<![A-Za-z0-9.+/-])(?:"
-    r"(?:\(?\+86\)?[ -]?)?1[3-9]\d[ -]?\d{4}[ -]?\d{4}"
-    r"|(?:\(0\d{2,3}\)[ -]?|0\d{2,3}-)\d{7,8}"
+    r"(?:[(（]?\+86[)）]?[ -]?)?1[3-9]\d[ -]?\d{4}[ -]?\d{4}"
+    r"|(?:[(（]0\d{2,3}[)）][ -]?|0\d{2,3}-)\d{7,8}"
     r"|(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])555[ .-]\d{4}|(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}"
     r"|\+44 ?(?:\(0\))?\d{2,4} ?\d{3,4} ?\d{3,4}|0\d{2} \d{4} \d{4}|07\d{3} ?\d{6}"
     r"|\+49 ?\d{2,4}[ /-]?\d{3,8}(?:[ -]\d{1,4})?|\(0\d{2,4}\) ?\d{3,8}(?:[ -]\d{1,5})?|0\d{2,4}[ /]\d{5,8}(?: ?-?\d{1,4})?|0\d{2,3} \d{5} \d{3}"
@@ -92,6 +105,8 @@ ID_NUMBER = re.compile(
     r"|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{13} \d{2}|\d{8}-?[A-HJ-NP-TV-Z]|[XYZ]-?\d{7}-?[A-Z]"
     r")(?![A-Za-z0-9/]|[.-]\d)"
 )
+#: Where a number may be: patterns of numbers are tried only there.
+DIGIT_RUN = re.compile(r"(?<![A-Za-z0-9.+/-])(?:[+(（]{1,2}\d|\d|[A-Z]{2} ?\d|[XYZ]-?\d)[\d ()（）.+/-]{5,}")
 #: Numbers that only their context makes an identity number; the group is the number.
 ID_CONTEXT = re.compile(
     r"さんの番号は(\d{4}[- ]?\d{4}[- ]?\d{4})|(?:Steuer-?ID|Steuernummer|Ausweis(?:nummer)?|Ausweis-Nr\.|Personalausweis|Kennnummer|Versichertennummer)[^\d\n]{0,12}([A-Z]?\d[\dA-Z ]{7,14}\d)"
@@ -99,15 +114,19 @@ ID_CONTEXT = re.compile(
 )
 _H = r"一-鿿々"
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]+"
-ADDRESS = re.compile(
-    rf"(?:(?<=住在)|(?<=请寄)|(?<=寄到)|(?<=她把)|(?<=他把)|(?<=[到在于]))?[{_H}]{{2}}(?:省[{_H}]{{2}})?市(?:[{_H}]{{1,4}}?[区县镇])?[{_H}]{{1,6}}?(?:大道|路|街|巷|弄|胡同|道)\d+号(?:院)?(?:\d+(?:号楼|栋|幢|座|楼))?(?:\d+单元)?(?:\d+(?:室|户|房))?"
-    rf"|[{_H}]{{2,3}}[都道府県][{_H}]{{1,4}}?[市郡区][{_H}]{{1,6}}?\d+(?:-\d+){{1,3}}(?:[ 　]?[{_H}ァ-ヶー]+\d+号室)?"
-    rf"|(?<![A-Za-z0-9/-])\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}?(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Drive|Dr|Way|Close|Place|Pl|Terrace|Row|Square|Sq|Crescent|Walk|Boulevard|Blvd)\b\.?"
-    rf"(?:,? (?:#|Apt\.? ?|Unit |Flat )\w+)?(?:, (?!c/o){_CAP}(?: {_CAP})?(?: \d{{5}})?|,? \d{{5}})?"
-    rf"|(?<![\w-])(?:(?:Am|An der|An den|Im|In der|Auf der|Auf dem|Zum|Zur|Beim|Hinter der|Unter den) )?[A-ZÄÖÜ][\wäöüß]+\.?(?:[- ](?:Straße|Str\.|Weg|Platz|Allee|Gasse))? \d{{1,4}} ?[a-z]?(?:, (?:\d\. OG|Whg\. \d+))?, \d{{5}} (?:(?:Bad|Sankt|St\.|Neu|Alt|Groß|Klein) )?[A-ZÄÖÜ][\wäöüß-]+"
-    rf"|(?<![A-Za-z0-9-])\d{{1,4}}(?: (?:bis|ter))?,? (?:rue|av\.|avenue|boulevard|bd\.?|place|chemin|allée|impasse|quai|cours) [^,\n\d]{{2,40}}, (?:(?:appt|bât)\.? \w+, )?\d{{5}} {_CAP}(?:[- ]{_CAP})?"
-    rf"|(?<![A-Za-zÀ-ÿ])(?:C/|[Cc]alle|Avda\.|Avenida|[Aa]vda\.|[Pp]laza|Pza\.|[Pp]aseo|Camino) ?(?:(?:de|del|de la|la|los|las) )*[A-ZÁÉÍÓÚÑ][^,\n\d]{{1,30}} \d{{1,4}}(?:, \d{{1,2}}\.?[ºª°] ?[A-Z]?)?, \d{{5}} [A-ZÁÉÍÓÚÑ][\w-]+"
-)
+#: Postal addresses: what a text must hold for the pattern to be tried, and the pattern.
+ADDRESSES = [
+    (("市", "号"), re.compile(rf"[{_H}]{{2}}(?:省[{_H}]{{2}})?市(?:[{_H}]{{1,4}}?[区县镇])?[{_H}]{{1,6}}?(?:大道|路|街|巷|弄|胡同|道)\d+号(?:院)?(?:\d+(?:号楼|栋|幢|座|楼))?(?:\d+单元)?(?:\d+(?:室|户|房))?")),
+    (("-", "市"), re.compile(rf"[{_H}]{{2,3}}[都道府県][{_H}]{{1,4}}?[市郡区][{_H}]{{1,6}}?\d+(?:-\d+){{1,3}}(?:[ 　]?[{_H}ァ-ヶー]+\d+号室)?")),
+    (("-", "郡"), re.compile(rf"[{_H}]{{2,3}}[都道府県][{_H}]{{1,4}}?[市郡区][{_H}]{{1,6}}?\d+(?:-\d+){{1,3}}(?:[ 　]?[{_H}ァ-ヶー]+\d+号室)?")),
+    ((" ",), re.compile(
+        rf"(?<![A-Za-z0-9/-])\d{{1,5}}[A-Za-z]? (?:{_CAP} ){{1,3}}?(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Drive|Dr|Way|Close|Place|Pl|Terrace|Row|Square|Sq|Crescent|Walk|Boulevard|Blvd)\b\.?"
+        rf"(?:,? (?:#|Apt\.? ?|Unit |Flat )\w+)?(?:, (?!c/o){_CAP}(?: {_CAP})?(?: \d{{5}})?|,? \d{{5}})?"
+    )),
+    ((", ",), re.compile(rf"(?<![\w-])(?:(?:Am|An der|An den|Im|In der|Auf der|Auf dem|Zum|Zur|Beim|Hinter der|Unter den) )?[A-ZÄÖÜ][\wäöüß]+\.?(?:[- ](?:Straße|Str\.|Weg|Platz|Allee|Gasse))? \d{{1,4}} ?[a-z]?(?:, (?:\d\. OG|Whg\. \d+))?, \d{{5}} (?:(?:Bad|Sankt|St\.|Neu|Alt|Groß|Klein) )?[A-ZÄÖÜ][\wäöüß-]+")),
+    ((", ",), re.compile(rf"(?<![A-Za-z0-9-])\d{{1,4}}(?: (?:bis|ter))?,? (?:rue|av\.|avenue|boulevard|bd\.?|place|chemin|allée|impasse|quai|cours) [^,\n\d]{{2,40}}, (?:(?:appt|bât)\.? \w+, )?\d{{5}} {_CAP}(?:[- ]{_CAP})?")),
+    ((", ",), re.compile(rf"(?<![A-Za-zÀ-ÿ])(?:C/|[Cc]alle|Avda\.|Avenida|[Aa]vda\.|[Pp]laza|Pza\.|[Pp]aseo|Camino) ?(?:(?:de|del|de la|la|los|las) )*[A-ZÁÉÍÓÚÑ][^,\n\d]{{1,30}} \d{{1,4}}(?:, \d{{1,2}}\.?[ºª°] ?[A-Z]?)?, \d{{5}} [A-ZÁÉÍÓÚÑ][\w-]+")),
+]
 
 _PART = r"(?:von der|von dem|van der|van den|de la|del|von|zu|van|de|di|da|du|le|d['’])"
 _FIRST = r"[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:-[A-ZÀ-ÖØ-Þ][^\W\d_]+)?"
@@ -117,25 +136,44 @@ _FULL = (
     rf"|{_FIRST}(?: {_FIRST})? (?:[A-Z]\. )?(?:{_PART} ?)?{_LAST}(?: {_LAST})?|(?:[A-Z]\. ){{1,2}}(?:{_PART} ?)?{_LAST})"
 )
 #: Contexts that introduce a name in languages of Latin script; the groups are names.  Fixed values.
-LATIN_TRIGGERS = re.compile(
-    rf"(?:Contact ?: |Contacto: |Ansprechperson: |Kontakt: |I am |I['’]m |file of |c/o |next to |El expediente de |Le dossier de |Die Akte von |Post bitte an |My name is |Je m['’]appelle |Ich heiße |Me llamo |called )({_FULL})"
-    rf"|({_FULL}) (?:lives at|wohnt in|habite au|vive en)|Between ({_FULL}) and ({_FULL}) nothing|({_FULL}) asked ({_FULL}) to|I told ({_FULL}) everything"
+LATIN_BEFORE = re.compile(
+    rf"(?:Contact ?: |Contacto: |Ansprechperson: |Kontakt: |I am |I['’]m |file of |c/o |next to |El expediente de |Le dossier de |Die Akte von |Post bitte an |My name is |Je m['’]appelle |Ich heiße |Me llamo |called |Between |I told )({_FULL})(?: and ({_FULL}) nothing)?"
 )
+LATIN_AFTER = re.compile(r" (?:lives at|wohnt in|habite au|vive en|asked(?= [A-Z]))")
+_before = re.compile(rf"({_FULL})$")
+_after = re.compile(rf" ({_FULL}) to\b")
+
+
+def latin_triggered(text: str) -> Iterator[tuple[int, int]]:
+    """Places of names in the contexts that introduce one in languages of Latin script."""
+    for m in LATIN_BEFORE.finditer(text):
+        yield from _fields(m)
+    for m in LATIN_AFTER.finditer(text):
+        from_ = max(0, m.start() - 48)
+        from_ = max(from_, text.rfind(". ", from_, m.start() - 3) + 2 if text.rfind(". ", from_, m.start() - 16) >= 0 else from_, text.rfind("\n", from_, m.start()) + 1)
+        if (n := _before.search(text, from_, m.start())) is not None:
+            yield n.span(1)
+        if (n := _after.match(text, m.end())) is not None:
+            yield n.span(1)
+
+
 LATIN_TITLE = re.compile(
     rf"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sr|Sra|Srta|M|Mme|Mlle|Hr|Fr)\.? ({_PART} ?)?({_LAST})|(?:Frau|Herr|Herrn|señora?|señorita|Madame|Monsieur|Mademoiselle|Don|Doña) ((?:{_PART} ?)?{_LAST}(?: {_LAST})?)"
 )
 #: The same for other scripts.  Fixed values.
-OTHER_NAMES = re.compile(
-    rf"担当[:：]([{_H}]{{1,4}}[ 　]?[{_H}]{{1,3}})(?=[ 　\n])|(?<![{_H}])([{_H}]{{2,3}} ?[{_H}]{{1,4}}|[{_H}]{{2,4}})(?=さん|様)"
-    r"|คุณ([ก-๎]{2,} [ก-๎]{2,})(?= |$|\n)"
-    r"|(?:السيدة?|الأستاذة?|الدكتورة?) ([ؠ-ي]+ [ؠ-ي]+)|حضرت? ([ؠ-ي]+ [ؠ-ي]+)(?= مرتين)"
-    r"|(?:श्रीमती|सुश्री|श्री) ([ऀ-ॣ॰-ॿ]+ [ऀ-ॣ॰-ॿ]+)"
-)
+OTHER_NAMES = [
+    (("担当",), re.compile(rf"担当[:：]([{_H}]{{1,4}}[ 　]?[{_H}]{{1,3}})(?=[ 　\n])")),
+    (("さん", "様"), re.compile(rf"(?<![{_H}])([{_H}]{{2,3}} ?[{_H}]{{1,4}}|[{_H}]{{2,4}})(?=さん|様)")),
+    (("คุณ",), re.compile(r"คุณ([ก-๎]{2,} [ก-๎]{2,})(?= |$|\n)")),
+    (("السيد", "الأستاذ", "الدكتور", "حضر"), re.compile(r"(?:السيدة?|الأستاذة?|الدكتورة?) ([ؠ-ي]+ [ؠ-ي]+)|حضرت? ([ؠ-ي]+ [ؠ-ي]+)(?= مرتين)")),
+    (("श्री", "सुश्री"), re.compile(r"(?:श्रीमती|सुश्री|श्री) ([ऀ-ॣ॰-ॿ]+ [ऀ-ॣ॰-ॿ]+)")),
+]
 HAN_TRIGGERS = re.compile(
     rf"(?:联系人[:：]|收件人|登记表上写的是|我叫|“我是|我同事|来访者(?=[{_H}]{{2,3}}住在)|本人(?=[{_H}]{{2,3}}，证件)|姓名[:：])([{_H}]{{2,3}})(?=[ ，。,.”\n]|也|住在|$)"
 )
 _capital = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][A-ZÀ-ÖØ-Þ][^\W\d_]+)*")
-_word = re.compile(r"[^\W\d_]{2,}")
+_word = re.compile(r"(?<![A-Za-z])[a-z]{2,}")
+_latin = re.compile(r"[A-ZÀ-Þ][\w'’.-]")
 #: Verbs that only a person does, before which an ordinary word with a capital is a name.  Fixed values.
 PERSON_VERB = re.compile(r" (?:came|always|just|never|said|asked|told|nodded|called|wrote|lives|left)\b")
 PERSON_BEFORE = re.compile(r"(?:[Aa]sk for|[Tt]old|[Cc]alled|[Aa]sked|with|c/o) $")
@@ -164,30 +202,28 @@ class Lexicon:
         self.family = np.zeros(1 << 16, dtype=np.int32)
         self.given = np.zeros(1 << 16, dtype=np.int32)
         self.contexts: set[str] = set()
+        self.seen: Counter = Counter()
         self._han = self._nick = None
 
     def learn(self, text: str) -> None:
-        known = self.__dict__.setdefault("_known", {})
-        latin = False
-        for w in _word.findall(text):
-            k = known.get(w)
-            if k is None:
-                k = known[w] = token(w) if w.isascii() and w.islower() else -1
-            if k >= 0:
-                latin = True
-                self.words[k] += 1
-        if latin or " " in text:
-            for m in LATIN_TRIGGERS.finditer(text):
-                for a, e in _fields(m):
-                    for w in _capital.findall(text[a:e]):
-                        if len(w) > 1:
-                            self.names[token(w.capitalize() if w.isupper() else w)] += 1
+        if _latin.search(text):
+            self.seen.update(_word.findall(text))
+            for a, e in latin_triggered(text):
+                for w in _capital.findall(text[a:e]):
+                    if len(w) > 1:
+                        self.names[token(w.capitalize() if w.isupper() else w)] += 1
         for m in HAN_TRIGGERS.finditer(text):
             n = m.group(1)
             self.family[min(ord(n[0]), 65535)] += 1
             for c in n[1:]:
                 self.given[min(ord(c), 65535)] += 1
 
+    def settle(self) -> None:
+        """Move the words counted so far into their table; memory stays bounded."""
+        for w, n in self.seen.items():
+            self.words[token(w)] += n
+        self.seen.clear()
+
     def han(self) -> tuple[re.Pattern, re.Pattern] | None:
         """Patterns of a Chinese full name and of a nickname, from the learned characters."""
         if self._han is None:
@@ -210,6 +246,9 @@ def _sum_lexicons(texts: DataFrame) -> Lexicon:
         for b in batches:
             for t in b["text"]:
                 own.learn(normalise(t)[0])
+            if len(own.seen) > 500_000:
+                own.settle()
+        own.settle()
         for what in ("names", "words", "family", "given"):
             table = getattr(own, what)
             at = np.nonzero(table)[0]
@@ -226,9 +265,13 @@ def _contexts(text: str, a: int, e: int) -> list[str]:
     left, right = text[max(0, a - 3) : a], text[e : e + 3]
     out = []
     if len(left) >= 2:
-        out += ["<" + left[-2:], "<" + left] if not regex.search(r"^[\p{P}\s]+$", left[-2:]) else ["<" + left]
+        out.append("<" + left)
+        if left[-1].isalnum() or left[-2].isalnum():
+            out.append("<" + left[-2:])
     if len(right) >= 2:
-        out += [">" + right[:2], ">" + right] if not regex.search(r"^[\p{P}\s]+$", right[:2]) else [">" + right]
+        out.append(">" + right)
+        if right[0].isalnum() or right[1].isalnum():
+            out.append(">" + right[:2])
     return out
 
 
@@ -245,10 +288,10 @@ def learn(texts: DataFrame) -> Lexicon:
             rows = {
                 (c, m.group())
                 for t in b["text"]
-                for t in [t.translate(_wide)]
+                for t in [normalise(t)[0]]
                 for m in pattern.finditer(t)
                 for c in _contexts(t, m.start(), m.end())
-                if regex.search(r"[\p{L}\p{N}]", c)
+                if any(x.isalnum() for x in c)
             }
             yield pd.DataFrame(list(rows), columns=["context", "name"])
 
@@ -268,36 +311,39 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
 
     def add(a: int, e: int, kind: str) -> None:
-        if a < e and not any(taken[a:e]):
+        if a < e and not taken.count(1, a, e):
             taken[a:e] = b"\1" * (e - a)
             found.append((a, e, kind))
 
     if "@" in t:
         for m in EMAIL.finditer(t):
             add(m.start(), m.end(), "email")
-    digits = any(c.isdigit() for c in t)
-    if digits:
+    if _digit.search(t):
         for m in ID_CONTEXT.finditer(t):
             for a, e in _fields(m):
                 add(a, e, "id_number")
-        for m in ADDRESS.finditer(t):
-            add(m.start(), m.end(), "address")
-        for m in ID_NUMBER.finditer(t):
-            if not NOT_BEFORE.search(t[max(0, m.start() - 20) : m.start()]):
-                add(m.start(), m.end(), "id_number")
-        for m in PHONE.finditer(t):
-            a = m.start()
-            if not NOT_BEFORE.search(t[max(0, a - 20) : a]):
-                if a and t[a - 1] == "(" and t[a : m.end()].count(")") > t[a : m.end()].count("("):
-                    a -= 1
-                add(a, m.end(), "phone")
-    for m in OTHER_NAMES.finditer(t):
-        for a, e in _fields(m):
-            add(a, e, "name")
+        for needed, pattern in ADDRESSES:
+            if all(x in t for x in needed):
+                for m in pattern.finditer(t):
+                    add(m.start(), m.end(), "address")
+        for run in DIGIT_RUN.finditer(t):
+            from_, to = run.start(), min(len(t), run.end() + 3)
+            for m in ID_NUMBER.finditer(t, from_, to):
+                if m.start() < run.end() and not NOT_BEFORE.search(t[max(0, m.start() - 20) : m.start()]):
+                    add(m.start(), m.end(), "id_number")
+            for m in PHONE.finditer(t, from_, to):
+                a = m.start()
+                if a < run.end() and not NOT_BEFORE.search(t[max(0, a - 20) : a]):
+                    add(a, m.end(), "phone")
+    for literals, pattern in OTHER_NAMES:
+        if any(x in t for x in literals):
+            for m in pattern.finditer(t):
+                for a, e in _fields(m):
+                    add(a, e, "name")
     if (han := lexicon.han()) is not None:
         contexts = lexicon.contexts
         for m in han[0].finditer(t):
-            if any(c in contexts for c in _contexts(t, m.start(), m.end())):
+            if not contexts.isdisjoint(_contexts(t, m.start(), m.end())):
                 add(m.start(), m.end(), "name")
         for m in han[1].finditer(t):
             add(m.start(), m.end(), "name")
@@ -309,11 +355,12 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
 
 
 def _latin_names(t: str, lexicon: Lexicon, add) -> None:
-    for m in LATIN_TRIGGERS.finditer(t):
-        for a, e in _fields(m):
-            words = [w for w in _capital.findall(t[a:e]) if len(w) > 1]
-            if any(_known(w, lexicon) for w in words):
-                add(a, e, "name")
+    if not _latin.search(t):
+        return
+    for a, e in latin_triggered(t):
+        words = [w for w in _capital.findall(t[a:e]) if len(w) > 1]
+        if any(_known(w, lexicon) for w in words):
+            add(a, e, "name")
     for m in LATIN_TITLE.finditer(t):
         if m.group(2):
             if _known(m.group(2), lexicon):
@@ -365,7 +412,13 @@ def _latin_names(t: str, lexicon: Lexicon, add) -> None:
 
 
 def _known(word: str, lexicon: Lexicon) -> bool:
-    return len(word) > 1 and lexicon.names[token(word.capitalize() if word.isupper() and len(word) > 2 else word)] >= 2
+    kept = lexicon.__dict__.setdefault("_kept", {})
+    yes = kept.get(word)
+    if yes is None:
+        if len(kept) > 200_000:
+            kept.clear()
+        yes = kept[word] = bool(len(word) > 1 and lexicon.names[token(word.capitalize() if word.isupper() and len(word) > 2 else word)] >= 2)
+    return yes
 
 
 def _ordinary(word: str, lexicon: Lexicon) -> bool:

@@ -14,6 +14,7 @@ from quernstone.llm.pairs import judge_pairs
 from quernstone.llm.pii import mentions, redacted
 from quernstone.llm.residue import residue
 from quernstone.llm.scans import damage, repaired
+from quernstone.llm.sentences import sentence_units
 from quernstone.llm.split import split_oversized
 from quernstone.session import spread, table
 
@@ -80,6 +81,20 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_residue(spark, sf_dir).select("question_id", "field_name")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units of the documents that are no pdf and of the sentence nodes."""
+    documents = table(spark, sf_dir, "documents").where("loader is null or loader != 'pdf'")
+    nodes = table(spark, sf_dir, "sentence_nodes")
+    rows = documents.select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), F.col("content").alias("text"))
+    return sentence_units(rows.union(nodes.select(F.lit("sentence_nodes"), "id", "sentence")))
+
+
+def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and length of the units of each table."""
+    n = F.col("end_char") - F.col("start_char")
+    return p7_found(spark, sf_dir).groupBy("rec_table").agg(F.count("*").alias("n_units"), F.avg(n).alias("mean_chars"), F.max(n).alias("max_chars"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"))
@@ -124,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_repaired": p5_repaired,
     "p6_found": p6_found,
     "p6_residue": p6_residue,
+    "p7_found": p7_found,
+    "p7_lengths": p7_lengths,
     "p8_ids": p8_ids,
     "p9_pack": p9_pack,
     "p9_fill": p9_fill,

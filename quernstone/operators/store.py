@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quernstone.functions.text import strip
 from quernstone.session import cut
 
 DEFAULT_FOLDER = "默认"
@@ -90,6 +91,6 @@ def merge_json(old: Column, new: Column) -> Column:
 
 def dedupe_insert(df: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """``df`` with the rows of ``new`` whose content isn't blank and that it lacks, nulls in keys being equal."""
-    new = new.where("trim(content) != ''").dropDuplicates(list(keys))
+    new = new.where(F.length(strip(F.col("content"))) > 0).dropDuplicates(list(keys))
     same = reduce(lambda x, k: x & df[k].eqNullSafe(new[k]), keys[1:], df[keys[0]].eqNullSafe(new[keys[0]]))
     return df.unionByName(new.join(df, same, "left_anti"), allowMissingColumns=True)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import packed_fields
+from quernstone.plans import packed_fields, store_queries, text_queries
 
-MODULES = [packed_fields]
+MODULES = [packed_fields, store_queries, text_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -60,6 +60,11 @@ _letters = regex.compile(r"[\p{L}\p{N}]")
 _repeat = regex.compile(r"^\W*(.{1,12}?)(?:\W*\1){3,}\W*.{0,3}$", regex.DOTALL)
 
 
+#: Patterns of the helpers below.
+_any_letter = regex.compile(r"\p{L}")
+_digits = regex.compile(r"\p{N}+")
+
+
 def _names(pattern: str, text: F.Column) -> F.Column:
     """The names inside all spans of ``pattern``, lower case, numbers as 9."""
     groups = pattern.count("]{1,60}?") + pattern.count("]{1,40}?") + pattern.count("]{0,40}")
@@ -92,12 +97,12 @@ def seed_label(text: str) -> str | None:
     if n >= 4 and _repeat.match(text.strip()):
         return "filler"
     # digits belong to whatever they stand beside
-    words = len(regex.findall(r"\p{L}", text))
+    words = len(_any_letter.findall(text))
     found = [m.group() for m in _seeds.finditer(text)]
-    covered = sum(len(regex.findall(r"\p{L}", f)) for f in found)
+    covered = sum(len(_any_letter.findall(f)) for f in found)
     if words == 0 or covered < 0.7 * words:
         return None
-    own = sum(len(regex.findall(r"\p{L}", f)) for f in found if _filler_seed.fullmatch(f))
+    own = sum(len(_any_letter.findall(f)) for f in found if _filler_seed.fullmatch(f))
     return "filler" if own * 2 >= covered else "notice"
 
 
@@ -124,7 +129,7 @@ def _bootstrap(rows: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def _plain(text: str) -> str:
-    return regex.sub(r"\p{N}+", "0", text.lower())
+    return _digits.sub("0", text.lower())
 
 
 class Detector:

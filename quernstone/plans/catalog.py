@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import packed_fields, store_queries, text_queries
+from quernstone.plans import feedback_queries, packed_fields, search_queries, store_queries, text_queries
 
-MODULES = [packed_fields, store_queries, text_queries]
+MODULES = [packed_fields, store_queries, text_queries, search_queries, feedback_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_fields.p2_found(spark, sf_dir)
+    return search_queries.flagship(spark, sf_dir)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.plans import feedback_queries, packed_fields, search_queries, store_queries, text_queries
+from quernstone.plans import feedback_queries, packed_fields, search_queries, snippet_queries, store_queries, text_queries
 
-MODULES = [packed_fields, store_queries, text_queries, search_queries, feedback_queries]
+MODULES = [packed_fields, store_queries, text_queries, search_queries, feedback_queries, snippet_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,6 +34,8 @@ BITS = 24
 SAMPLE = 6000
 #: Vectors in a leaf, at most, where deeper prefixes exist.
 LEAF = 1024
+#: Difference of a vector's two nearest directions below which it has a string under both, for pairs.
+MARGIN = 0.05
 #: Share of a model's vectors that the ascent gathers over all trees.
 ASCENT = 0.2
 #: Rows of one subtree in one task; larger subtrees are split into blocks of this size.
@@ -153,8 +155,11 @@ def _floats(q: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def strings(units: DataFrame, forests) -> DataFrame:
-    """(model, tree, symbol, bits, h, q): every class's hash string in every tree, with its 8-bit vector."""
+def strings(units: DataFrame, forests, margin: float = 0.0) -> DataFrame:
+    """(model, tree, symbol, bits, h, q): every class's hash string in every tree, with its 8-bit vector.
+
+    A vector whose two nearest directions differ by less than ``margin`` has a string under each of them, so that close
+    vectors on two sides of a border still meet."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -162,12 +167,19 @@ def strings(units: DataFrame, forests) -> DataFrame:
                 if (forest := forests.value.get(model)) is None:
                     continue
                 x = _units(g["raw"])
-                q = [r.tobytes() for r in _quantised(x)]
+                q = np.array([r.tobytes() for r in _quantised(x)], dtype=object)
                 for tree in range(TREES):
-                    symbol = forest.symbols(x, tree)[:, 0]
-                    yield pd.DataFrame(
-                        {"model": model, "tree": tree, "symbol": symbol, "bits": forest.bits(x, tree, symbol), "h": g["h"].to_numpy(), "q": q}
-                    )
+                    near = x @ forest.directions[tree].T
+                    symbol = near.argmax(1)
+                    at = np.arange(len(x))
+                    if margin > 0 and near.shape[1] > 1:
+                        best = near[at, symbol].copy()
+                        near[at, symbol] = -2
+                        second = near.argmax(1)
+                        also = np.nonzero(best - near[at, second] < margin)[0]
+                        at, symbol = np.concatenate([at, also]), np.concatenate([symbol, second[also]])
+                    bits = forest.bits(x[at], tree, symbol)
+                    yield pd.DataFrame({"model": model, "tree": tree, "symbol": symbol, "bits": bits, "h": g["h"].to_numpy()[at], "q": q[at]})
 
     return units.select("h", "model", "raw").mapInPandas(hashed, "model string, tree int, symbol int, bits bigint, h binary, q binary")
 
@@ -186,7 +198,7 @@ def _leaves(bits: np.ndarray, depth: int, start: int, end: int) -> Iterator[tupl
 
 def similar_pairs(units: DataFrame, forests, least: float) -> DataFrame:
     """(h_a, h_b, cosine) of classes with a cosine of at least ``least`` that share a leaf in some tree; h_a < h_b."""
-    rows = strings(units, forests)
+    rows = strings(units, forests, MARGIN)
     sizes = rows.groupBy("model", "tree", "symbol").agg(F.count("*").alias("n")).collect()  # at most models x TREES x SYMBOLS rows
     depth = {(r.model, r.tree, r.symbol): max(0, int(np.ceil(np.log2(max(1, r.n / BLOCK)))) + 1 if r.n > BLOCK else 0) for r in sizes}
     deep = [(m, t, s, d) for (m, t, s), d in depth.items() if d > 0]

@@ -140,8 +140,20 @@ def nnls(rows: np.ndarray, target: np.ndarray, steps: int = 400) -> np.ndarray:
     return x
 
 
+#: Shares of the fitted patterns that a plan may use; the one that needs the fewest containers is taken.
+SHARES = (1.0, 0.6, 0.3, 0.1)
+
+
 def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple]:
-    """Slots (size, first_rank, last_rank, per_container, first_container): documents of ``size`` with ranks from
+    """The slots of :func:`plan_with` for the share of patterns that needs the fewest containers."""
+    if not len(sizes):
+        return []
+    plans = [plan_with(sizes, counts, capacity, share) for share in SHARES]
+    return min(plans, key=lambda p: max(first + (last - rank + offset - 1) // each for _, rank, last, each, first, offset in p))
+
+
+def plan_with(sizes: np.ndarray, counts: np.ndarray, capacity: int, share: float) -> list[tuple]:
+    """Slots (size, first_rank, last_rank, per_container, first_container, offset): documents of ``size`` with ranks from
     first_rank up to last_rank go ``per_container`` each into the containers from ``first_container`` on.
 
     Its work and its result depend on the capacity and the number of different sizes, not on the documents."""
@@ -162,7 +174,7 @@ def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple]:
     left = histogram.copy()
     chosen: list[tuple[tuple[int, ...], int]] = []
     for k in np.argsort(-x, kind="stable"):
-        n = int(x[k] + 0.5)
+        n = int(share * x[k] + 0.5)
         if n < 1:
             break
         cell, times = np.unique(rows[k][rows[k] > 0], return_counts=True)

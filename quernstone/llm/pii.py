@@ -342,6 +342,9 @@ def find(text: str, lexicon: Lexicon) -> list[tuple[int, int, str]]:
                     add(a, e, "name")
     if (han := lexicon.han()) is not None:
         contexts = lexicon.contexts
+        for m in HAN_TRIGGERS.finditer(t):
+            if (n := han[0].match(t, m.start(1), m.end(1))) is not None:
+                add(n.start(), n.end(), "name")
         for m in han[0].finditer(t):
             if not contexts.isdisjoint(_contexts(t, m.start(), m.end())):
                 add(m.start(), m.end(), "name")

@@ -119,7 +119,11 @@ def _bootstrap(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     rare = texts.select(F.explode(words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     own = rows.select("question_id", "field_name", F.explode(words(F.col("text"))).alias("w"))
     odd = own.join(rare, "w").groupBy("question_id", "field_name").agg(F.count_if(F.col("n") <= 2).alias("odd"), F.count("*").alias("all"))
-    odd = odd.where("odd >= 2 and odd >= 0.8 * all").select("question_id", "field_name", F.lit(True).alias("odd"))
+    odd = cut(odd.withColumn("is_odd", F.expr("odd >= 2 and odd >= 0.8 * all")))
+    # where many fields are made of rare words, as in a small corpus, rare words say nothing
+    n = odd.agg(F.count("*").alias("all"), F.count_if("is_odd").alias("odd")).first()
+    informative = F.lit(bool(n["odd"] <= 0.2 * n["all"]))
+    odd = odd.where(F.col("is_odd") & informative).select("question_id", "field_name", F.lit(True).alias("odd"))
     mostly = F.length(F.regexp_replace("text", r"[^\p{IsLatin}; ]", "")) >= 0.8 * F.length("text")
     out = rows.withColumn("seeded", label("text")).join(odd, ["question_id", "field_name"], "left")
     return out.select(

@@ -111,10 +111,10 @@ def test_checks_of_pairs():
 def test_page_lines():
     lines = ["Notes on Sleep", "12", "a body line that goes on", "0", "1", "2", "3", "— l3 —", "Notes on Sleep", "more body."]
     numbers = scans.page_numbers(lines)
-    assert numbers == {1, 7} or numbers == {1, 7}
+    assert numbers == {1, 7}
     assert scans.structure(lines, [scans.key("Notes on Sleep")]) == {0: "header", 1: "page_number", 7: "page_number", 8: "header"}
     assert scans.key("N o t e s  on SLEEP") == scans.key("Notes on sleep    14")
-    assert scans.page_numbers(["x", "", "ordinary text."]) == set()
+    assert scans.page_numbers(["y", "", "ordinary text."]) == set()
 
 
 def test_damage(spark):
@@ -136,7 +136,7 @@ def test_damage(spark):
 def test_residue(spark):
     people = ["怎样和前任谈呼吸练习？", "How do I stop hiding behind excuses?", "导师说我的论文像 lorem ipsum，我很受伤", "写代码时看到 {} 就心慌怎么办？", "【求助】室友冷战怎么办", "[update] I finally talked"]
     bad = ["关于{{城市}}，我想听听", "__age__ years", "来自[topic]的提问", "lorem ipsum dolor", "test test test test", "404 Not Found", "请启用 JavaScript 后继续访问"]
-    rows = [(i, t, None) for i, t in enumerate(people * 8)] + [(1000 + i, t, "") for i, t in enumerate([*bad, "#{topic} ok?"])]
+    rows = [(i, t, None) for i, t in enumerate([*[p for p in people if "lorem" not in p] * 8, people[2]])] + [(1000 + i, t, "") for i, t in enumerate([*bad, "#{topic} ok?"])]
     q = spark.createDataFrame(rows, "id bigint, title string, description string")
     corpus = spark.createDataFrame([("改变很慢，但已经不一样了。怎样谈练习？ How do I talk about it?",)] * 20 + [(None,)], "text string")
     found = {r.question_id for r in residue.residue(q, corpus).collect()}

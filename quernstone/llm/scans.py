@@ -9,7 +9,8 @@ Hyphens: a broken word's two parts are joined and looked up; the mark vanishes u
 Misread characters: every word has an anagram hash, the sum of its characters' values.  In SQL, a rare word's hash
 changed by the difference of a confusable pair is joined with the hashes of frequent words; for scripts without blanks
 the words are characters between their two neighbours, and the confusable pairs are learned: a character most of whose
-occurrences stand where another one dominates is a misreading of that one.  Corrections are ranked by frequency.
+occurrences stand where another one dominates is a misreading of that one, and so is a common character in the places
+where it stands for a dominating one in scanned pages only.  Corrections are ranked by frequency.
 """
 
 from __future__ import annotations
@@ -207,20 +208,27 @@ def _body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words and characters between neighbours with their counts, summed in each task before the shuffle."""
+    """Words and characters between neighbours with their counts, summed in each task before the shuffle.
+
+    Characters are also counted in texts that weren't scanned (clean), and in scanned ones within a line (inside)."""
     words: Counter = Counter()
     grams: Counter = Counter()
+    clean: Counter = Counter()
+    inside: Counter = Counter()
 
     def flush():
-        w = pd.DataFrame({"kind": "w", "x": list(words.keys()), "c": "", "n": list(words.values())})
-        han = [(g, n) for g, n in grams.items() if "぀" <= g[1] <= "鿿"]
-        g = pd.DataFrame({"kind": "g", "x": [a[0] + a[2] for a, _ in han], "c": [a[1] for a, _ in han], "n": [n for _, n in han]})
-        words.clear()
-        grams.clear()
+        w = pd.DataFrame({"kind": "w", "x": list(words.keys()), "c": "", "n": list(words.values()), "clean": 0, "inside": 0})
+        han = [a for a in grams.keys() | clean.keys() if "぀" <= a[1] <= "鿿"]
+        g = pd.DataFrame({
+            "kind": "g", "x": [a[0] + a[2] for a in han], "c": [a[1] for a in han], "n": [grams[a] + clean[a] for a in han],
+            "clean": [clean[a] for a in han], "inside": [inside[a] for a in han],
+        })
+        for counts in (words, grams, clean, inside):
+            counts.clear()
         return [x for x in (w, g) if len(x)]
 
     for b in batches:
-        for t in b["content"]:
+        for t, scanned in zip(b["content"], b["scanned"]):
             for line in t.split("\n"):
                 line = line.rstrip()
                 found = WORD.findall(line.lower())
@@ -230,8 +238,11 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not _han.search(t):
                 continue
             joined = t.replace("\n", "").replace("\x0c", "")
-            grams.update(zip(joined, joined[1:], joined[2:]))
-        if len(words) + len(grams) > 1_000_000:
+            (grams if scanned else clean).update(zip(joined, joined[1:], joined[2:]))
+            if scanned:
+                for line in t.replace("\x0c", "").split("\n"):
+                    inside.update(zip(line, line[1:], line[2:]))
+        if len(words) + len(grams) + len(clean) > 1_000_000:
             yield from flush()
     yield from flush()
 
@@ -287,21 +298,36 @@ def misread_words(words: DataFrame, wanted: DataFrame, ratio: int = 8, least: in
     return good.groupBy("word").agg(F.max_by("correction", "n").alias("correction"))
 
 
-def misread_characters(grams: DataFrame, ratio: int = 12, least: int = 6, share: float = 0.4) -> DataFrame:
+def misread_characters(grams: DataFrame, ratio: int = 12, least: int = 6, share: float = 0.4, expected: int = 10) -> DataFrame:
     """(x, c, d): between the neighbours ``x`` the character ``c`` stands for ``d``.
 
-    Evidence is a place where d is ``ratio`` times as frequent; a pair counts if such places explain at least
-    ``share`` of c's occurrences, or if it stands in many places and d is far more frequent in each."""
-    top = grams.groupBy("x").agg(F.max(F.struct("n", "c")).alias("t")).select("x", F.col("t.n").alias("most"), F.col("t.c").alias("d"))
+    ``grams`` are (x, c, n, clean, inside): occurrences in all texts, in those not scanned, and in scanned ones within a
+    line.  Evidence is a place where d is ``ratio`` times as frequent; a pair counts in all such places if they explain
+    at least ``share`` of c's occurrences.  Where c is common too, a pair counts in the places that hold it in scanned
+    texts only, if texts not scanned, which hold d there, would have ``expected`` of it or more were c no misreading, and
+    have hardly any.  Without texts not scanned only the first rule applies."""
+    top = grams.groupBy("x").agg(F.max(F.struct("n", "c", "clean")).alias("t"))
+    top = top.select("x", F.col("t.n").alias("most"), F.col("t.c").alias("d"), F.col("t.clean").alias("d_clean"))
     evidence = cut(
         grams.join(top.where(f"most >= {least}"), "x").where(F.col("c") != F.col("d")).where(F.col("most") >= F.lit(ratio) * F.col("n"))
     )
-    pairs = evidence.groupBy("c", "d").agg(F.sum("n").alias("explained"), F.count("*").alias("places"))
+    # beside digits and blanks stands anything
+    judged = F.col("x").rlike(r"^[^\p{N}\s\u00a0\u3000]{2}$") & F.col("d").rlike(r"^[\p{L}\p{M}]$") & F.col("c").rlike(r"^[\p{L}\p{M}]$")
+    zero = F.lit(0)
+    pairs = evidence.groupBy("c", "d").agg(
+        F.sum("n").alias("explained"), F.sum(F.when(judged, F.col("inside")).otherwise(zero)).alias("scanned"),
+        F.sum(F.when(judged, F.col("clean")).otherwise(zero)).alias("unscanned"),
+        F.sum(F.when(judged, F.col("inside") * F.col("d_clean") / F.col("most")).otherwise(zero)).alias("due"),
+    )
     totals = grams.groupBy("c").agg(F.sum("n").alias("total"))
     by_c = pairs.groupBy("c").agg(F.sum("explained").alias("all_explained"))
-    accepted = pairs.join(totals, "c").join(by_c, "c")
-    accepted = accepted.where((F.col("explained") >= F.lit(share) * F.col("total")) & (F.col("explained") >= 0.5 * F.col("all_explained")))
-    return evidence.join(accepted.select("c", "d"), ["c", "d"]).select("x", "c", "d")
+    judged_pairs = pairs.join(totals, "c").join(by_c, "c").select(
+        "c", "d",
+        ((F.col("explained") >= F.lit(share) * F.col("total")) & (F.col("explained") >= 0.5 * F.col("all_explained"))).alias("everywhere"),
+        ((F.col("due") >= expected) & (F.col("unscanned") * 20 <= F.col("scanned"))).alias("by_place"),
+    )
+    both = evidence.join(judged_pairs.where("everywhere or by_place"), ["c", "d"])
+    return both.where(F.col("everywhere") | (judged & (F.col("clean") == 0) & (F.col("inside") > 0))).select("x", "c", "d")
 
 
 def damage(documents: DataFrame) -> DataFrame:
@@ -313,10 +339,12 @@ def damage(documents: DataFrame) -> DataFrame:
     rows = spread(documents.select("doc_id", "loader", "content").where("content is not null and content != ''"))
     pages = rows.where("loader = 'pdf'").select("doc_id", "content")
     counted = cut(
-        rows.select("content").mapInPandas(_words, "kind string, x string, c string, n bigint").groupBy("kind", "x", "c").agg(F.sum("n").alias("n"))
+        rows.select("content", F.coalesce(F.col("loader") == "pdf", F.lit(False)).alias("scanned"))
+        .mapInPandas(_words, "kind string, x string, c string, n bigint, clean bigint, inside bigint")
+        .groupBy("kind", "x", "c").agg(*[F.sum(k).alias(k) for k in ("n", "clean", "inside")])
     )
     words = counted.where("kind = 'w'").select(F.col("x").alias("word"), "n")
-    grams = counted.where("kind = 'g'").select("x", "c", "n")
+    grams = counted.where("kind = 'g'").select("x", "c", "n", "clean", "inside")
     parts = cut(pages.join(headers(pages), "doc_id", "left").mapInPandas(_body, "doc_id bigint, line_no int, what string, a string, b string"))
     fixed = parts.where("what in ('header', 'page_number')").select("doc_id", "line_no", F.col("what").alias("kind"), F.lit(None).cast("string").alias("note"))
 

@@ -130,6 +130,19 @@ def test_damage(spark):
     assert "sleeping person" in fixed and "Notes" not in fixed and "well-" in fixed
 
 
+def test_misread_common_characters(spark):
+    people = "友亲事学师生"
+    clean = [f"那位{p}信自己的话，他{p}已经{q}来，而且{p}说他会来。" for p in people for q in "回出进"]
+    rows = [(i, "txt", t) for i, t in enumerate(clean * 20)] + [(1000 + i, "pdf", t) for i, t in enumerate(clean * 8)]
+    rows += [(2000 + i, k, f"那位{p}说她会来。") for i, (k, p) in enumerate([(k, p) for k in ("pdf", "txt") for p in people * 2])]
+    rows += [(2500 + i, "txt", "她有她的家，她也有她的路。") for i in range(20)]
+    wrong = [t.replace("自己", "自已") for t in clean] + [t.replace("已经", "己经") for t in clean]
+    rows += [(3000 + i, "pdf", f"第一行没有什么。\n{t}") for i, t in enumerate(wrong)]
+    df = spark.createDataFrame(rows, "doc_id bigint, loader string, content string")
+    got = {(r.doc_id, r.line_no) for r in scans.damage(df).where("kind = 'misread'").collect()}
+    assert got == {(3000 + i, 1) for i in range(len(wrong))}
+
+
 # --- 6
 
 

@@ -6,7 +6,7 @@ a few general names.
 
 Filler and notices are found by character n-gram models of filler, of error and script notices, and of natural prose.
 The first fit of the two residue models takes fields that consist of seed phrases, of one repeated string or of words
-that occur nowhere else; the second takes the fields that the first fit finds.  Each character has a log-likelihood
+far rarer in prose; the second takes the fields that the first fit finds.  Each character has a log-likelihood
 ratio of residue against prose; windows of positive mean ratio are residue, and a field is excluded by how much of it
 such windows cover, so that a real question that quotes a notice stays.
 """
@@ -27,6 +27,9 @@ from quernstone.session import cut
 #: Share of a field's letters and digits that residue windows must cover.
 COVERAGE = 0.6
 WINDOW = 9
+#: How many times rarer in prose than in fields a word of filler is, and how likely prose may hold a field of such words.
+RARER = 5
+CHANCE = 1e-3
 #: Seed phrases, fixed values: well-known filler and notices.
 FILLER = [
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua",
@@ -115,20 +118,26 @@ def _bootstrap(rows: DataFrame, corpus: DataFrame) -> DataFrame:
             yield pd.Series([seed_label(t) for t in texts], dtype=object)
 
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{IsLatin}]{2,}|[a-z;]{4,}"), F.lit(0)))
-    texts = rows.select("text").union(corpus.select("text")).distinct()
-    rare = texts.select(F.explode(words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    # a word is odd if it is far commoner in fields than in prose, whatever the sizes of both
+    asked, said = rows.select("text").distinct(), corpus.select("text").distinct()
+    both = asked.select("text", F.lit(1).alias("asked"), F.lit(0).alias("said")).union(said.select("text", F.lit(0), F.lit(1)))
+    counts = both.select(F.explode(words(F.col("text"))).alias("w"), "asked", "said").groupBy("w").agg(F.sum("asked").alias("asked"), F.sum("said").alias("said"))
+    counts = cut(counts)
+    n_asked, n_said = asked.count(), said.count()
+    # the chance that prose continues with an unseen word (Good-Turing): prose of few words says nothing about short fields
+    prose = counts.agg(F.count_if(F.col("said") == 1).alias("once"), F.coalesce(F.sum("said"), F.lit(0)).alias("all")).first()
+    unseen = (prose["once"] + 1) / (prose["all"] + 1)
+    is_odd = F.lit(RARER * n_asked) * F.col("said") <= F.lit(n_said) * F.col("asked")
     own = rows.select("question_id", "field_name", F.explode(words(F.col("text"))).alias("w"))
-    odd = own.join(rare, "w").groupBy("question_id", "field_name").agg(F.count_if(F.col("n") <= 2).alias("odd"), F.count("*").alias("all"))
-    odd = cut(odd.withColumn("is_odd", F.expr("odd >= 2 and odd >= 0.8 * all")))
-    # where many fields are made of rare words, as in a small corpus, rare words say nothing
-    n = odd.agg(F.count("*").alias("all"), F.count_if("is_odd").alias("odd")).first()
-    informative = F.lit(bool(n["odd"] <= 0.2 * n["all"]))
-    odd = odd.where(F.col("is_odd") & informative).select("question_id", "field_name", F.lit(True).alias("odd"))
+    odd = own.join(counts, "w").groupBy("question_id", "field_name").agg(F.count_if(is_odd).alias("odd"), F.count("*").alias("all"))
+    odd = odd.where((F.col("odd") >= 2) & (F.col("odd") >= 0.8 * F.col("all")) & (F.col("odd") * np.log(unseen) < np.log(CHANCE)))
+    odd = odd.select("question_id", "field_name", F.lit(True).alias("odd"))
     mostly = F.length(F.regexp_replace("text", r"[^\p{IsLatin}; ]", "")) >= 0.8 * F.length("text")
+    told = F.lower("text").rlike("|".join(regex.escape(s) for s in NOTICES))  # such fields teach what stands around notices
     out = rows.withColumn("seeded", label("text")).join(odd, ["question_id", "field_name"], "left")
     return out.select(
         "question_id", "field_name", "text",
-        F.coalesce("seeded", F.when(F.col("odd") & mostly, F.lit("filler")), F.lit("prose")).alias("label"),
+        F.coalesce("seeded", F.when(F.col("odd") & mostly, F.when(told, F.lit("notice")).otherwise(F.lit("filler"))), F.lit("prose")).alias("label"),
     )
 
 

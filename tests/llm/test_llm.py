@@ -157,6 +157,20 @@ def test_residue(spark):
     assert residue.residue(q.limit(0), corpus).count() == 0
 
 
+def test_filler_of_repeated_words(spark):
+    rnd = random.Random(3)
+    prose = [a + b for a in ("walk", "talk", "wait", "rest") for b in ("ing", "ed", "er", "s", "")]
+    made = ["iptator", "normi", "doveta", "tortor", "finsum", "rasve", "remcu", "tatorlo"]
+    text = lambda words: " ".join(rnd.choice(words) for _ in range(9))
+    corpus = spark.createDataFrame([(text(prose),) for _ in range(200)], "text string")
+    rows = [(i, "title", text(prose)) for i in range(40)] + [(100 + i, "title", text(made)) for i in range(20)]
+    fields = spark.createDataFrame(rows, "question_id bigint, field_name string, text string")
+    found = {r.question_id for r in residue._bootstrap(fields, corpus).where("label = 'filler'").collect()}
+    assert found == set(range(100, 120))
+    few = spark.createDataFrame([("we wait and rest",)], "text string")  # so little prose says nothing
+    assert residue._bootstrap(fields, few).where("label = 'filler'").count() == 0
+
+
 # --- 7
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, neighbours, packing, pairs, pii, queries, residue, scans, sentences, split
+from quernstone.llm import bpe, neighbours, ngram, packing, pairs, pii, queries, residue, scans, sentences, split
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +105,17 @@ def test_checks_of_pairs():
     assert pairs.script("本当にそれでいいの") == "ja" and pairs.script("12 34") is None
 
 
+def test_long_refusals():
+    refusing = ["I cannot answer this question.", "I am unable to help with that request.", "Sorry, I will not give advice on this."]
+    prose = ["Sit down and breathe slowly for a while.", "The morning walk made everything lighter.", "Write the letter and keep it."]
+    models = {"refusal": ngram.Model(ngram.count_texts([pairs.plain(s) for s in refusing * 5])), "prose": ngram.Model(ngram.count_texts([pairs.plain(s) for s in prose * 5]))}
+    judge = pairs.Judge({}, models, ())
+    long = " ".join(refusing * 6)
+    short = " ".join(["I cannot answer."] * 9)
+    assert len(long) > 400 and judge.refuses([long, short, refusing[0], "", "?"]) == [True, True, True, False, False]
+    assert judge.refuses([long + " " + prose[0], prose[0] + " " + long, " ".join(prose * 5)]) == [False] * 3
+
+
 # --- 5
 
 

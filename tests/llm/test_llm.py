@@ -265,6 +265,11 @@ def test_mentions(spark):
     assert pii.mentions(df.limit(0)).count() == 0
 
 
+def test_us_numbers():
+    assert all(pii.PHONE.fullmatch(t) for t in ["212-867-5309", "+1 212-867-5309", "212.867.5309", "299-555-0170", "(560) 555-0165"])
+    assert not any(pii.PHONE.search(t) for t in ["936-875-6075A", "212-067-5309", "1212-867-5309"]) and pii.NOT_BEFORE.search("Ticket ")
+
+
 # --- all
 
 

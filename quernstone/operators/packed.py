@@ -12,7 +12,8 @@ separator backtracks to a bare value and sets ``malformed``):
 The separators of a field are its strong ones (comma, ideographic comma, semicolon, bar, line break, tab) if there
 is any outside quotes, else slashes, else blanks that don't stand within a Latin-script phrase.  Java's regular
 expressions try alternatives in order with backtracking, so each form is one pattern and the whole operator runs
-inside whole-stage code generation, without Python and without a shuffle.
+inside whole-stage code generation, without Python and without a shuffle.  Repeated groups are possessive, so the
+matcher's stack doesn't grow with a value's length.
 """
 
 from __future__ import annotations
@@ -23,74 +24,65 @@ from pyspark.sql import functions as F
 BLANK = r"[ \t\r\n\u00a0\u3000\u2000-\u200b\ufeff]"
 STRONG = r",，、;；|｜\n\r\t"
 LATIN = r"\p{IsLatin}\p{Nd}&+'’.()\-"
-QUOTED = r"""(?:"(?:[^"\\]|\\.|"")*"|“[^”]*”|'(?:[^']|'')*'|‘[^’]*’|「[^」]*」)"""
+#: Possessive throughout: a quotation's alternatives exclude each other, and Java then loops instead of recursing, so
+#: that a value may have any length.
+QUOTED = r"""(?:"(?:[^"\\]++|\\.|"")*+"|“[^“”]*+”|'(?:[^']++|'')*+'|‘[^‘’]*+’|「[^「」]*+」)"""
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.regexp_replace(c, f"^{BLANK}++|(?<!{BLANK}){BLANK}++$", "")
 
 
 def _alternatives(separators: str) -> str:
     """quoted before a separator or the end, else bare."""
     pad = r"[ \t\u00a0\u3000]*"
-    return f"{pad}{QUOTED}{pad}(?=[{separators}]|$)|[^{separators}]+"
+    return f"{pad}{QUOTED}{pad}(?=[{separators}]|$)|[^{separators}]++"
 
 
-def parse_packed(field: Column) -> Column:
-    """``array<struct<pos int, tag string, form string, malformed boolean>>`` of one packed field.
+#: A value that holds nothing: blanks, hashes, or an empty quotation; in a list a backslash only escapes.
+NOTHING = rf"""^(?:[#＃]*|"{BLANK}*"|“{BLANK}*”|'{BLANK}*'|‘{BLANK}*’|「{BLANK}*」)$"""
+NOTHING_LISTED = rf"""{NOTHING}|^"(?:\\?{BLANK})*"$"""
 
-    Null, empty and separator-only fields give an empty array.  ``pos`` counts the non-empty values from 0; repeated
-    values are kept.  ``form`` is 'quoted', 'hashtag', 'bracketed' (a bare value in list brackets) or 'bare'."""
-    t = _strip(field)
-    listed = t.rlike(r"(?s)^\[.*\]$")
-    inner = F.when(listed, _strip(F.regexp_replace(t, r"(?s)^\[(.*)\]$", "$1"))).otherwise(t)
+
+def _raw_values(inner: Column) -> Column:
+    """The values of a field without its list brackets, as they stand."""
     masked = F.regexp_replace(inner, f"(^|[{STRONG}/／]|{BLANK}){QUOTED}(?=$|[{STRONG}/／]|{BLANK})", "$1Q")
-    hashed = inner.rlike("^[#＃]")
-    mode = (
-        F.when(masked.rlike(f"[{STRONG}]"), "strong").when(hashed, "hash").when(masked.rlike("[/／]"), "slash").otherwise("blank")
-    )
-    blank_run = r"[ \t\u00a0]+"
-    in_phrase = f"(?<=[{LATIN}]){blank_run}(?=[{LATIN}])"
-    by_blank = f"{QUOTED}(?={BLANK}|$)|(?:[^ \\t\\u00a0\\u3000]|{in_phrase})+"
-    raw = (
-        F.when(mode == "strong", F.regexp_extract_all(inner, F.lit(_alternatives(STRONG)), F.lit(0)))
-        .when(mode == "hash", F.regexp_extract_all(inner, F.lit("[#＃][^#＃]+"), F.lit(0)))
-        .when(mode == "slash", F.regexp_extract_all(inner, F.lit(_alternatives("/／")), F.lit(0)))
+    in_phrase = f"(?<=[{LATIN}])[ \\t\\u00a0]++(?=[{LATIN}])"
+    by_blank = f"{QUOTED}(?={BLANK}|$)|(?:[^ \\t\\u00a0\\u3000]++|{in_phrase})++"
+    return (
+        F.when(masked.rlike(f"[{STRONG}]"), F.regexp_extract_all(inner, F.lit(_alternatives(STRONG)), F.lit(0)))
+        .when(inner.rlike("^[#＃]"), F.regexp_extract_all(inner, F.lit("[#＃][^#＃]++"), F.lit(0)))
+        .when(masked.rlike("[/／]"), F.regexp_extract_all(inner, F.lit(_alternatives("/／")), F.lit(0)))
         .otherwise(F.regexp_extract_all(inner, F.lit(by_blank), F.lit(0)))
     )
 
-    def value(x: Column) -> Column:
-        v = _strip(x)
-        quoted = v.rlike(f"(?s)^{QUOTED}$") & (F.length(v) >= 2)
-        bare = F.substring(v, F.lit(2), F.length(v) - F.lit(2))
-        undoubled = (
-            F.when(v.startswith('"') & listed, F.regexp_replace(F.replace(bare, F.lit('""'), F.lit('"')), r"\\(.)", "$1"))
-            .when(v.startswith('"'), F.replace(bare, F.lit('""'), F.lit('"')))
-            .when(v.startswith("'"), F.replace(bare, F.lit("''"), F.lit("'")))
-            .otherwise(bare)
-        )
-        plain = _strip(F.regexp_replace(v, "^[#＃]+", ""))
-        tag = F.when(quoted, _strip(undoubled)).otherwise(plain)
-        form = (
-            F.when(quoted, "quoted").when(v.rlike("^[#＃]"), "hashtag").when(listed, "bracketed").otherwise("bare")
-        )
-        malformed = ~quoted & v.rlike("^[\"“‘「]|^'[^']*$")
-        return F.struct(tag.alias("tag"), form.alias("form"), malformed.alias("malformed"))
-
-    kept = F.filter(F.transform(raw, value), lambda s: F.length(s["tag"]) > 0)
-    out = F.transform(
-        kept,
-        lambda s, i: F.struct(
-            i.cast("int").alias("pos"), s["tag"].alias("tag"), s["form"].alias("form"), s["malformed"].alias("malformed")
-        ),
-    )
-    return F.when(field.isNull(), F.array().cast("array<struct<pos:int,tag:string,form:string,malformed:boolean>>")).otherwise(out)
-
 
 def split_packed(df: DataFrame, key: str, field: str, key_as: str = "question_id") -> DataFrame:
     """One row per value of ``field``: (``key_as``, pos, tag, form, malformed).
 
-    Rows whose field is null, empty or holds only separators give none.  Repeated rows give their values again, an
-    empty table gives an empty result, and further columns of ``df``, whatever their names, are left out."""
-    values = df.select(F.col(f"`{key}`").alias("__k"), F.explode(parse_packed(F.col(f"`{field}`"))).alias("__v"))
-    return values.select(F.col("__k").alias(key_as), "__v.pos", "__v.tag", "__v.form", "__v.malformed")
+    ``pos`` counts the non-empty values from 0; repeated values are kept.  ``form`` is 'quoted', 'hashtag', 'bracketed' (a
+    bare value in list brackets) or 'bare'; ``malformed`` marks a bare value that begins like a quotation.  Rows whose
+    field is null, empty or holds only separators give none.  Repeated rows give their values again, an empty table gives
+    an empty result, and further columns of ``df``, whatever their names, are left out.  A field of any length and any
+    number of values takes time in proportion to it."""
+    t = df.select(F.col(f"`{key}`").alias("k"), _strip(F.col(f"`{field}`")).alias("t"))
+    t = t.select("k", "t", F.col("t").rlike(r"(?s)^\[.*\]$").alias("listed"))
+    inner = F.when(F.col("listed"), _strip(F.regexp_replace("t", r"(?s)^\[(.*)\]$", "$1"))).otherwise(F.col("t"))
+    split = t.select("k", "listed", F.explode(F.array(_raw_values(inner))).alias("raw"))
+    stripped = split.select("k", "listed", F.transform("raw", _strip).alias("raw"))
+    empty = lambda x: F.when(F.col("listed"), x.rlike(NOTHING_LISTED)).otherwise(x.rlike(NOTHING))
+    each = stripped.select("k", "listed", F.posexplode(F.filter("raw", lambda x: ~empty(x))).alias("pos", "v"))
+    v = F.col("v")
+    sized = each.withColumn("quoted", v.rlike(f"(?s)^{QUOTED}$") & (F.length(v) >= 2))
+    bare = F.expr("substring(v, 2, length(v) - 2)")
+    one = F.replace(bare, F.lit('""'), F.lit('"'))
+    undoubled = (
+        F.when(v.startswith('"') & F.col("listed"), F.regexp_replace(one, r"\\(.)", "$1"))
+        .when(v.startswith('"'), one)
+        .when(v.startswith("'"), F.replace(bare, F.lit("''"), F.lit("'")))
+        .otherwise(bare)
+    )
+    tag = F.when(F.col("quoted"), _strip(undoubled)).otherwise(_strip(F.regexp_replace(v, "^[#＃]+", "")))
+    form = F.when(F.col("quoted"), "quoted").when(v.rlike("^[#＃]"), "hashtag").when(F.col("listed"), "bracketed").otherwise("bare")
+    malformed = ~F.col("quoted") & v.rlike("^[\"“‘「]|^'[^']*$")
+    return sized.select(F.col("k").alias(key_as), "pos", tag.alias("tag"), form.alias("form"), malformed.alias("malformed"))

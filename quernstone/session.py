@@ -18,18 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and Spark runs locally.
+
+    On a cluster a folder of one machine would lose the checkpoints, so there the setting is required.  Checkpoints are
+    removed once their frames are no longer referenced where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set
+    for the session; this package never deletes them itself."""
     shared = spark.conf.get(CHECKPOINT_CONF, None)
     context = spark.sparkContext
-    if shared:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(shared)
-        return shared
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return context._jsc.sc().getCheckpointDir().get()
-    local = tempfile.mkdtemp(prefix="quernstone-")
-    context.setCheckpointDir(f"file://{local}")
-    return f"file://{local}"
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that all nodes share")
+        shared = f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
+    context.setCheckpointDir(shared)
+    return shared
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -1,16 +1,18 @@
 """Problem 3: most similar vectors for every vector, by a hash-prefix forest.
 
-Every tree gives a vector a long hash string: first the symbol of the nearest of ``SYMBOLS`` directions fitted on a
-bounded sample, then one bit for each of ``BITS`` random hyperplanes through that direction.  Vectors that share a
-long prefix are similar.  A tree is the array of all strings, sorted within subtrees that Spark distributes.
+Every tree gives a vector a long hash string: first the symbol of the nearest of many directions fitted on a bounded
+sample, then one bit for each of ``BITS`` random hyperplanes through that direction.  Vectors that share a long prefix
+are similar.  A tree is the array of all strings, sorted within subtrees that Spark distributes.
 
 * Pairs: each subtree descends to the longest prefixes that still hold more than ``LEAF`` vectors, so the depth
-  varies with the density; vectors are compared within those leaves, over all trees.
-* Nearest neighbours: a query starts at its longest prefixes and ascends in all trees at once, one bit and then one
-  sibling symbol at a time, until the subtrees together hold ``ASCENT`` of the model's vectors.
-
-Candidates are scored on 8-bit vectors; the best are scored again on the stored numbers.  Exact copies are one class
-throughout, so that a vector that a third of the rows share is one row of the index.
+  varies with the density; vectors are compared within those leaves, over all trees.  Subtrees that are too large for one
+  task are parted by longer prefixes, where they are large only; those that share the whole string by blocks.
+* Nearest neighbours: a query starts at the subtree of its own symbol in every tree and ascends in all trees at once,
+  one sibling symbol at a time, until the subtrees together hold ``ASCENT`` of the model's vectors.
+
+Candidates are scored on 8-bit vectors; those within the error bound of the best are scored again on the numbers, kept
+as 4-byte floats.  Exact copies are one class throughout, so that a vector that a third of the rows share is one row of
+the index.
 """
 
 from __future__ import annotations
@@ -28,16 +30,21 @@ from pyspark.sql.window import Window
 from quernstone.session import cut, spread, table
 
 TREES = 4
+#: Directions of a tree: few for pairs, whose partners are close, many for neighbours, which lie all over a cluster.
 SYMBOLS = 48
+FINE_SYMBOLS = 512
 BITS = 24
-#: Vectors a model that the directions are fitted on, at most (about): the documented sample bound.
+#: Vectors of each model that the directions are fitted on, about, or all it has: the documented sample bound.
 SAMPLE = 6000
 #: Vectors in a leaf, at most, where deeper prefixes exist.
 LEAF = 1024
-#: Difference of a vector's two nearest directions below which it has a string under both, for pairs.
+#: Difference from a vector's nearest direction below which it has a string under another one too, for pairs.
 MARGIN = 0.05
-#: Share of a model's vectors that the ascent gathers over all trees.
-ASCENT = 0.2
+#: Share of a model's vectors that the ascent gathers over all trees, and how many at least.
+ASCENT = 0.07
+AT_LEAST = 2000
+#: Symbols of a tree that one task searches together.
+TOGETHER = 8
 #: Rows of one subtree in one task; larger subtrees are split into blocks of this size.
 BLOCK = 20_000
 #: Error bound of cosines of 8-bit vectors.
@@ -111,11 +118,11 @@ def _units(raw: pd.Series) -> np.ndarray:
 class Forest:
     """The hash functions of one model: directions and hyperplanes of every tree."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 7):
+    def __init__(self, sample: np.ndarray, symbols: int = SYMBOLS, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.directions, self.planes = [], []
         for _ in range(TREES):
-            k = min(SYMBOLS, len(sample))
+            k = min(symbols, len(sample))
             c = sample[rng.choice(len(sample), k, replace=False)].copy()
             for _ in range(12):
                 nearest = (sample @ c.T).argmax(1)
@@ -123,7 +130,9 @@ class Forest:
                     mine = sample[nearest == j]
                     if len(mine):
                         c[j] = mine.sum(0) / max(np.linalg.norm(mine.sum(0)), 1e-9)
-            self.directions.append(c)
+            # directions within one dense spot would part its vectors for nothing
+            apart = [j for j in range(k) if not (c[:j] @ c[j] > 0.9).any()]
+            self.directions.append(c[apart])
             self.planes.append(rng.normal(size=(sample.shape[1], BITS)).astype(np.float32))
 
     def symbols(self, x: np.ndarray, tree: int, first: int = 1) -> np.ndarray:
@@ -137,13 +146,16 @@ class Forest:
         return side @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
-def fit(vectors: DataFrame, total: int, models: int) -> dict[str, Forest]:
-    """A forest for each model, fitted on about ``SAMPLE`` vectors of it at most, chosen by a hash of their keys."""
-    every = max(1, total // (SAMPLE * max(1, models)))
-    some = vectors.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0)
-    ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("model").orderBy(F.xxhash64("key")))).where(f"r <= {SAMPLE}")
-    rows = packed_vectors(ranked.select("key", "id", "model", "v")).select("model", "h", "raw").toPandas().sort_values("h")
-    return {m: Forest(_units(g["raw"])) for m, g in rows.groupby("model")}
+def fit(packed: DataFrame, symbols: int = SYMBOLS) -> dict[str, Forest]:
+    """A forest for each model, fitted on about ``SAMPLE`` vectors of it, chosen by a hash of their keys, or on all.
+
+    Each model has its own rate, so that a rare model beside a frequent one isn't missed.  The sample that reaches the
+    driver has at most about ``SAMPLE`` vectors for each of the registered models."""
+    counts = packed.groupBy("model").agg(F.count("*").alias("n"))
+    rates = counts.select("model", F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("n") / SAMPLE)).alias("every"))
+    some = packed.join(F.broadcast(rates), "model").where(F.pmod(F.xxhash64("key"), F.col("every")) == 0)
+    rows = some.select("model", "h", "raw").toPandas().sort_values("h")
+    return {m: Forest(_units(g["raw"]), symbols) for m, g in rows.groupby("model")}
 
 
 def _quantised(x: np.ndarray) -> np.ndarray:
@@ -158,7 +170,7 @@ def _floats(q: pd.Series) -> np.ndarray:
 def strings(units: DataFrame, forests, margin: float = 0.0) -> DataFrame:
     """(model, tree, symbol, bits, h, q): every class's hash string in every tree, with its 8-bit vector.
 
-    A vector whose two nearest directions differ by less than ``margin`` has a string under each of them, so that close
+    A vector has a string under every direction that is less than ``margin`` farther than its nearest, so that close
     vectors on two sides of a border still meet."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,14 +182,7 @@ def strings(units: DataFrame, forests, margin: float = 0.0) -> DataFrame:
                 q = np.array([r.tobytes() for r in _quantised(x)], dtype=object)
                 for tree in range(TREES):
                     near = x @ forest.directions[tree].T
-                    symbol = near.argmax(1)
-                    at = np.arange(len(x))
-                    if margin > 0 and near.shape[1] > 1:
-                        best = near[at, symbol].copy()
-                        near[at, symbol] = -2
-                        second = near.argmax(1)
-                        also = np.nonzero(best - near[at, second] < margin)[0]
-                        at, symbol = np.concatenate([at, also]), np.concatenate([symbol, second[also]])
+                    at, symbol = np.nonzero(near >= near.max(1, keepdims=True) - margin) if margin > 0 else (np.arange(len(x)), near.argmax(1))
                     bits = forest.bits(x[at], tree, symbol)
                     yield pd.DataFrame({"model": model, "tree": tree, "symbol": symbol, "bits": bits, "h": g["h"].to_numpy()[at], "q": q[at]})
 
@@ -196,35 +201,56 @@ def _leaves(bits: np.ndarray, depth: int, start: int, end: int) -> Iterator[tupl
         todo += [(depth + 1, start, middle), (depth + 1, middle, end)]
 
 
+def _parted(rows: DataFrame, step: int = 4) -> DataFrame:
+    """``rows`` with (depth, prefix, part, block): groups of at most about ``BLOCK`` rows that hold all pairs of a leaf.
+
+    Only subtrees that are too large get longer prefixes, ``step`` bits at a time; where even the whole string is shared
+    by more, the rows are dealt into blocks and every pair of blocks is a group of its own."""
+    keys = ["model", "tree", "symbol"]
+    rows = rows.withColumn("depth", F.lit(0))
+    prefix = F.expr(f"shiftright(bits, {BITS} - depth)")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(f"n > {BLOCK}")
+    if sizes.isEmpty():
+        return rows.withColumns({"prefix": prefix, "part": F.lit(""), "block": F.lit(0)})
+    rows = cut(rows)
+    at = [*keys, "depth", "prefix"]
+    large = sizes.select(*keys, F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("prefix"), "n")
+    for depth in range(0, BITS, step):  # at most total / BLOCK prefixes are too large on a level
+        rows = rows.withColumn("prefix", prefix).join(large.drop("n").withColumn("large", F.lit(True)), at, "left")
+        rows = rows.withColumn("depth", F.when(F.col("large"), depth + step).otherwise(F.col("depth"))).drop("large", "prefix")
+        counted = rows.where(f"depth = {depth + step}").groupBy(*keys, "depth", prefix.alias("prefix")).agg(F.count("*").alias("n"))
+        large = cut(counted.where(f"n > {BLOCK}"))
+    blocks = large.select(*at, F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("blocks"))
+    rows = rows.withColumn("prefix", prefix).join(blocks, at, "left").fillna(1, ["blocks"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    both = rows.withColumn("other", other).withColumn("part", F.concat_ws("-", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")))
+    return both.drop("other", "blocks")
+
+
 def similar_pairs(units: DataFrame, forests, least: float) -> DataFrame:
     """(h_a, h_b, cosine) of classes with a cosine of at least ``least`` that share a leaf in some tree; h_a < h_b."""
-    rows = strings(units, forests, MARGIN)
-    sizes = rows.groupBy("model", "tree", "symbol").agg(F.count("*").alias("n")).collect()  # at most models x TREES x SYMBOLS rows
-    depth = {(r.model, r.tree, r.symbol): max(0, int(np.ceil(np.log2(max(1, r.n / BLOCK)))) + 1 if r.n > BLOCK else 0) for r in sizes}
-    deep = [(m, t, s, d) for (m, t, s), d in depth.items() if d > 0]
-    if deep:
-        levels = rows.sparkSession.createDataFrame(deep, "model string, tree int, symbol int, depth int")
-        rows = rows.join(F.broadcast(levels), ["model", "tree", "symbol"], "left").fillna(0, ["depth"])
-    else:
-        rows = rows.withColumn("depth", F.lit(0))
-    rows = rows.withColumn("prefix", F.expr(f"shiftright(bits, {BITS} - depth)"))
+    rows = _parted(strings(units, forests, MARGIN))
     bound = least - SLACK
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bits", kind="stable")
-        bits, h, x = g["bits"].to_numpy(), g["h"].to_numpy(), _floats(g["q"])
+        bits, h, x, block = g["bits"].to_numpy(), g["h"].to_numpy(), _floats(g["q"]), g["block"].to_numpy()
         found_a, found_b = [], []
+        two = len(np.unique(block)) > 1
         for start, end in _leaves(bits, int(g["depth"].iloc[0]), 0, len(g)):
             for i in range(start, end, LEAF):
                 for j in range(i, end, LEAF):
                     a, b = np.nonzero(x[i : min(i + LEAF, end)] @ x[j : min(j + LEAF, end)].T >= bound)
                     keep = (a + i) < (b + j)
+                    if two:  # pairs within a block belong to the group of that block alone
+                        keep &= block[a + i] != block[b + j]
                     found_a.append(a[keep] + i)
                     found_b.append(b[keep] + j)
         a, b = np.concatenate(found_a), np.concatenate(found_b)
         return pd.DataFrame({"x": h[a], "y": h[b]})
 
-    pairs = rows.groupBy("model", "tree", "symbol", "prefix").applyInPandas(compare, "x binary, y binary")
+    pairs = rows.groupBy("model", "tree", "symbol", "prefix", "part").applyInPandas(compare, "x binary, y binary")
     pairs = pairs.select(F.least("x", "y").alias("h_a"), F.greatest("x", "y").alias("h_b")).distinct()
     return _exact(pairs, units, "h_a", "h_b").where(F.col("cosine") >= least)
 
@@ -248,11 +274,10 @@ def _exact(pairs: DataFrame, units: DataFrame, a: str, b: str) -> DataFrame:
     return joined.withColumn("cosine", F.round(cosine("raw_a", "raw_b"), 9)).drop("raw_a", "raw_b")
 
 
-def _index(spark: SparkSession, sf_dir: str):
-    vectors = all_vectors(spark, sf_dir)
-    total = sum(table(spark, sf_dir, name).count() for name, _, _ in SOURCES)
-    forests = spark.sparkContext.broadcast(fit(vectors, total, table(spark, sf_dir, "embedding_models").count()))
-    packed = packed_vectors(vectors)
+def _index(spark: SparkSession, sf_dir: str, symbols: int = SYMBOLS):
+    """The parsed vectors, written once, their classes, and the forests."""
+    packed = cut(packed_vectors(all_vectors(spark, sf_dir)))
+    forests = spark.sparkContext.broadcast(fit(packed, symbols))
     return packed, cut(classes(packed)), forests
 
 
@@ -261,19 +286,18 @@ def found_pairs(spark: SparkSession, sf_dir: str, least: float = 0.95) -> DataFr
 
     Copies of one vector have cosine 1 and are paired too.  A class of more than ``COPIES`` copies is paired through
     its smallest key, which is linked to each of its copies and to each similar class, so no link between different
-    vectors is lost and the result grows with the rows.  Without usable vectors the result is empty."""
+    vectors is lost and the result grows with the rows; :func:`class_links` names every vector's class, from which the
+    remaining pairs follow: two copies of a class, or copies of two linked classes.  Without usable vectors the result
+    is empty."""
     packed, units, forests = _index(spark, sf_dir)
     if not forests.value:
         return spark.createDataFrame([], "key_a string, key_b string")
-    pairs = similar_pairs(units, forests, least)
+    pairs = cut(similar_pairs(units, forests, least))
     # keys are needed only of classes with copies or with a partner
     wanted = pairs.select(F.explode(F.array("h_a", "h_b")).alias("h")).union(units.where("copies > 1").select("h")).distinct()
     members = packed.select("h", "key").join(wanted, "h", "left_semi")
-    members = cut(
-        members.join(units.select("h", "copies"), "h").join(
-            members.groupBy("h").agg(F.min("key").alias("rep")), "h"
-        )
-    )
+    sizes = members.groupBy("h").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
+    members = cut(members.join(sizes, "h"))
     small = members.where(f"copies <= {COPIES} or key = rep")
     within = small.alias("x").join(small.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")))
     within = within.select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))
@@ -285,96 +309,84 @@ def found_pairs(spark: SparkSession, sf_dir: str, least: float = 0.95) -> DataFr
     return within.unionByName(star).unionByName(across)
 
 
+def class_links(spark: SparkSession, sf_dir: str, least: float = 0.95) -> DataFrame:
+    """(key, class_key, copies, links): one row per usable vector: its class of exact copies, named by the smallest key,
+    the class's size, and the number of other classes with a cosine of at least ``least``."""
+    packed, units, forests = _index(spark, sf_dir)
+    if not forests.value:
+        return spark.createDataFrame([], "key string, class_key string, copies bigint, links bigint")
+    pairs = similar_pairs(units, forests, least)
+    links = pairs.select(F.explode(F.array("h_a", "h_b")).alias("h")).groupBy("h").agg(F.count("*").alias("links"))
+    named = packed.groupBy("h").agg(F.min("key").alias("class_key"), F.count("*").alias("copies")).join(links, "h", "left").fillna(0, ["links"])
+    return packed.select("key", "h").join(named, "h").select("key", "class_key", "copies", "links")
+
+
 def nearest(spark: SparkSession, sf_dir: str, k: int = 10, every: int = 20) -> DataFrame:
     """(key, rank, neighbour, cosine): the ``k`` most similar vectors of the same model for the rows whose id is
     divisible by ``every``, against all rows.  Equal cosines are ordered by the neighbour's key; copies of a vector
     are neighbours like others.  Fewer than ``k`` rows come out only where a model has fewer vectors."""
-    packed, units, forests = _index(spark, sf_dir)
+    packed, units, forests = _index(spark, sf_dir, FINE_SYMBOLS)
     if not forests.value:
         return spark.createDataFrame([], "key string, rank int, neighbour string, cosine double")
     asked = packed.where(F.col("id") % every == 0).select("key", "h")
     queries = units.join(asked.select("h").distinct(), "h", "left_semi")
-    rows = strings(units, forests)
-    fine = rows.select("model", "tree", "symbol", F.shiftright("bits", BITS - 3).alias("p"))
-    counts = {(r.model, r.tree, r.symbol, r.p): r.n for r in fine.groupBy("model", "tree", "symbol", "p").agg(F.count("*").alias("n")).collect()}
+    rows = strings(units, forests).withColumn("part", F.floor(F.col("symbol") / TOGETHER).cast("int"))
+    sizes = rows.groupBy("model", "tree", "symbol").agg(F.count("*").alias("n")).collect()  # at most models x TREES x FINE_SYMBOLS rows
+    cells = {(r.model, r.tree, r.symbol): r.n for r in sizes}
     totals: dict[str, int] = {}
-    cells: dict[tuple, int] = {}
-    for (m, t, s, p), n in counts.items():
+    parts: dict[tuple, int] = {}
+    for (m, t, s), n in cells.items():
         totals[m] = totals.get(m, 0) + (n if t == 0 else 0)
-        for b in range(4):
-            cells[m, t, s, b, p >> (3 - b)] = cells.get((m, t, s, b, p >> (3 - b)), 0) + n
-    blocks = {c[:3]: -(-n // BLOCK) for c, n in cells.items() if c[3] == 0}
+        parts[m, t, s // TOGETHER] = parts.get((m, t, s // TOGETHER), 0) + n
+    blocks = {c: -(-n // BLOCK) for c, n in parts.items()}
     shared = spark.sparkContext.broadcast((cells, totals, blocks))
 
     def requests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells, totals, blocks = shared.value
         for batch in batches:
             for model, g in batch.groupby("model"):
-                forest, x = forests.value[model], _units(batch.loc[g.index, "raw"])
-                near = [forest.symbols(x, t, SYMBOLS) for t in range(TREES)]
-                bits = [forest.bits(x, t, near[t][:, 0]) >> (BITS - 3) for t in range(TREES)]
+                forest, x = forests.value[model], _units(g["raw"])
+                near = [forest.symbols(x, t, FINE_SYMBOLS) for t in range(TREES)]
                 q, out = [r.tobytes() for r in _quantised(x)], []
+                need = min(max(ASCENT * totals[model], AT_LEAST), totals[model] * TREES)
                 for i, h in enumerate(g["h"]):
-                    need = min(ASCENT * totals[model], totals[model])
-                    asks: list[tuple] = []
-                    for b in (3, 2, 1, 0):
-                        asks = [(t, int(near[t][i, 0]), b, int(bits[t][i]) >> (3 - b)) for t in range(TREES)]
-                        have = sum(cells.get((model, t, s, lv, p), 0) for t, s, lv, p in asks)
-                        if have >= need:
-                            break
-                    sibling = 1
-                    while have < need and sibling < near[0].shape[1]:
-                        more = [(t, int(near[t][i, sibling]), 0, 0) for t in range(TREES)]
-                        have += sum(cells.get((model, t, s, 0, 0), 0) for t, s, _, _ in more)
-                        asks += more
-                        sibling += 1
-                    out += [(model, t, s, blk, lv, p, h, q[i]) for t, s, lv, p in asks for blk in range(blocks.get((model, t, s), 0))]
-                yield pd.DataFrame(out, columns=["model", "tree", "symbol", "block", "level", "prefix", "h", "q"])
-
-    asks = queries.select("h", "model", "raw").mapInPandas(
-        requests, "model string, tree int, symbol int, block int, level int, prefix bigint, h binary, q binary"
-    )
-    many = spark.createDataFrame([(m, t, s, n) for (m, t, s), n in blocks.items()], "model string, tree int, symbol int, blocks int")
-    split = rows.join(F.broadcast(many), ["model", "tree", "symbol"]).withColumn(
-        "block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    )
-    take = k + 6
+                    have = step = 0
+                    while have < need and step < max(n.shape[1] for n in near):
+                        for t in range(TREES):
+                            if step >= near[t].shape[1]:
+                                continue
+                            s = int(near[t][i, step])
+                            have += cells.get((model, t, s), 0)
+                            out += [(model, t, s // TOGETHER, b, s, h, q[i]) for b in range(blocks.get((model, t, s // TOGETHER), 0))]
+                        step += 1
+                yield pd.DataFrame(out, columns=["model", "tree", "part", "block", "symbol", "h", "q"])
+
+    asks = queries.select("h", "model", "raw").mapInPandas(requests, "model string, tree int, part int, block int, symbol int, h binary, q binary")
+    many = spark.createDataFrame([(*c, n) for c, n in blocks.items()], "model string, tree int, part int, blocks int")
+    split = rows.join(F.broadcast(many), ["model", "tree", "part"]).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
 
     def search(g: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(g) and len(asked_):
-            g = g.sort_values("bits", kind="stable")
-            bits, h, x = g["bits"].to_numpy(), g["h"].to_numpy(), _floats(g["q"])
-            for (level, prefix), qs in asked_.groupby(["level", "prefix"]):
-                width = BITS - int(level)
-                a, e = np.searchsorted(bits, [int(prefix) << width, (int(prefix) + 1) << width])
-                if e <= a:
-                    continue
-                for i in range(0, len(qs), 512):
+            g = g.sort_values("symbol", kind="stable")
+            symbols, h, x = g["symbol"].to_numpy(), g["h"].to_numpy(), _floats(g["q"])
+            for symbol, qs in asked_.groupby("symbol"):
+                a, e = np.searchsorted(symbols, [symbol, symbol + 1])
+                for i in range(0, len(qs) if e > a else 0, 512):
                     some = qs.iloc[i : i + 512]
                     score = _floats(some["q"]) @ x[a:e].T
-                    n = min(take, e - a)
-                    best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    out.append(
-                        pd.DataFrame(
-                            {
-                                "h_a": np.repeat(some["h"].to_numpy(), n),
-                                "h_b": h[a:e][best.ravel()],
-                                "score": np.take_along_axis(score, best, 1).ravel().astype(float),
-                            }
-                        )
-                    )
+                    n = min(k + 1, e - a)  # one may be the query itself
+                    least = np.partition(score, -n, axis=1)[:, -n] - SLACK
+                    at, b = np.nonzero(score >= least[:, None])
+                    out.append(pd.DataFrame({"h_a": some["h"].to_numpy()[at], "h_b": h[a:e][b], "score": score[at, b].astype(float)}))
         return pd.concat(out) if out else pd.DataFrame({"h_a": [], "h_b": [], "score": []})
 
-    hits = (
-        split.groupBy("model", "tree", "symbol", "block")
-        .cogroup(asks.groupBy("model", "tree", "symbol", "block"))
-        .applyInPandas(search, "h_a binary, h_b binary, score double")
-    )
+    grouped = ["model", "tree", "part", "block"]
+    hits = split.groupBy(*grouped).cogroup(asks.groupBy(*grouped)).applyInPandas(search, "h_a binary, h_b binary, score double")
     best = hits.groupBy("h_a", "h_b").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("h_a").orderBy(F.desc("score"), "h_b")
-    best = best.withColumn("r", F.row_number().over(order)).where(f"r <= {take}").select("h_a", "h_b")
-    scored = _exact(best, units, "h_a", "h_b")
+    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("h_a").orderBy(F.desc("score"), "h_b")))
+    least = F.min(F.when(F.col("r") <= k + 1, F.col("score"))).over(Window.partitionBy("h_a"))
+    scored = _exact(ranked.withColumn("least", least).where(F.col("score") >= F.col("least") - SLACK).select("h_a", "h_b"), units, "h_a", "h_b")
     # a class's first k + 1 keys suffice: one may be the query itself
     members = packed.select("h", "key").withColumn("m", F.row_number().over(Window.partitionBy("h").orderBy("key"))).where(f"m <= {k + 1}")
     named = scored.join(members.select(F.col("h").alias("h_b"), F.col("key").alias("neighbour")), "h_b")

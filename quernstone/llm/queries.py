@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm.bpe import encode_corpus
-from quernstone.llm.neighbours import found_pairs, nearest
+from quernstone.llm.neighbours import class_links, found_pairs, nearest
 from quernstone.llm.packing import pack
 from quernstone.llm.pairs import judge_pairs
 from quernstone.llm.pii import mentions, redacted
@@ -44,6 +44,11 @@ def p3_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir)
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector with its class of exact copies and the number of similar classes."""
+    return class_links(spark, sf_dir)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defective draft or edited answer with its defect."""
     bad = p6_residue(spark, sf_dir).where("field_name = 'title'").select("question_id")
@@ -133,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pieces": p1_pieces,
     "p3_found": p3_found,
     "p3_knn": p3_knn,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_damage": p5_damage,

@@ -90,6 +90,37 @@ def test_similar_pairs_and_recall(spark, tmp_path):
     assert sum(c >= exact[k] - 1e-6 for k, v in by.items() for c in v) / 1500 >= 0.9
 
 
+def write_vectors(spark, path, rows, models):
+    for name, id_ in (("document_chunks", "id"), ("sentence_nodes", "id"), ("document_summaries", "document_id")):
+        part = [(i, json.dumps([round(float(v), 6) for v in x]), m) for i, (x, m) in enumerate(rows)] if name == "document_chunks" else []
+        spark.createDataFrame(part, f"{id_} bigint, embedding_json string, embedding_model string").write.parquet(f"{path}/{name}.parquet")
+    spark.createDataFrame(models, "model_name string, dims int").write.parquet(f"{path}/embedding_models.parquet")
+
+
+def test_rare_models_and_crowded_prefixes(spark, tmp_path, monkeypatch):
+    """A model of six vectors beside one of thousands keeps its pairs; a prefix that too many share is parted."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 50)
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8))
+    x[:130] = x[0] + 1e-7 * rng.normal(size=(130, 8))  # near-copies share every bit
+    rare = [np.arange(1, 5) + 0.01 * i for i in range(6)]
+    write_vectors(spark, tmp_path, [(v, "a") for v in x] + [(v, "b") for v in rare], [("a", 8), ("b", 4)])
+    got = {(r.key_a, r.key_b) for r in neighbours.found_pairs(spark, str(tmp_path)).collect()}
+    y = np.array([[round(float(q), 6) for q in v] for v in x])
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    want = {tuple(sorted((f"c{a}", f"c{b}"))) for a, b in zip(*np.nonzero(np.triu(y @ y.T >= 0.95, 1)))}
+    want |= {tuple(sorted((f"c{a}", f"c{b}"))) for a in range(3000, 3006) for b in range(a + 1, 3006)}
+    classes = {r.key: r for r in neighbours.class_links(spark, str(tmp_path)).collect()}
+    assert len(classes) == 3006 and all(classes[f"c{i}"].links == 5 for i in range(3000, 3006))
+    same = {(a, b) for a, b in want if classes[a].class_key == classes[b].class_key and classes[a].copies > neighbours.COPIES}
+    crowd = {k for k, r in classes.items() if r.copies > neighbours.COPIES and k != r.class_key}
+    missing = {(a, b) for a, b in want - same - got if a not in crowd and b not in crowd}
+    assert len(missing) <= 0.01 * len(want) and got <= want
+    hits = {r.key for r in neighbours.nearest(spark, str(tmp_path), every=1).where("key in ('c3000', 'c3005')").collect()}
+    assert hits == {"c3000", "c3005"}
+
+
 # --- 4
 
 

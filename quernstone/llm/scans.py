@@ -10,7 +10,8 @@ Misread characters: every word has an anagram hash, the sum of its characters' v
 changed by the difference of a confusable pair is joined with the hashes of frequent words; for scripts without blanks
 the words are characters between their two neighbours, and the confusable pairs are learned: a character most of whose
 occurrences stand where another one dominates is a misreading of that one, and so is a common character in the places
-where it stands for a dominating one in scanned pages only.  Corrections are ranked by frequency.
+where it stands for a dominating one in scanned pages only.  Corrections are ranked by frequency and carry their place,
+so that the text is repaired at all of them.
 """
 
 from __future__ import annotations
@@ -37,9 +38,10 @@ CONFUSIONS = [
 ]
 SYMBOLS = str.maketrans("01@†9$568|", "olatgssebl")
 WORD = re.compile("(?=[0-9@†|$'’-]*[A-Za-zÀ-ɏ])[A-Za-zÀ-ɏ0-9@†|$'’\u0300-\u036f-]+")
-PLAIN = regex.compile(r"\d{1,4}")
+#: A page number has at most six digits.
+PLAIN = regex.compile(r"\d{1,6}")
 ROMAN = regex.compile(r"(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
-NUMBER = r"[\dlIOo]{1,4}"
+NUMBER = r"[\dlIOo]{1,6}"
 DECORATED = regex.compile(
     rf"(?:[-–—·~]\s*{NUMBER}\s*[-–—·~]|[\[［(（]\s*{NUMBER}\s*[\]］)）]|{NUMBER}\s*[/|／｜]\s*{NUMBER}|(?i:page|p\.|seite|s\.|página|pág\.|pagina)\s*{NUMBER}(?:\s*(?i:of|von|de|sur|/)\s*{NUMBER})?"
     rf"|第\s*{NUMBER}\s*[页頁](?:\s*[,，/]?\s*共\s*{NUMBER}\s*[页頁])?|{NUMBER}\s*(?:ページ|頁|页)|(?:หน้า|صفحة|पृष्ठ)\s*{NUMBER})"
@@ -49,7 +51,7 @@ END = "。！？!?….;；:：，,、؟।”」』»"
 
 
 _apart = re.compile(r"\s\s")
-_han = re.compile("[぀-鿿]")
+_beyond_latin = re.compile("[ɐ-􏿿]")
 _first_letter = re.compile(r"[^\W_]|[@†|]")
 
 
@@ -73,7 +75,7 @@ def key(line: str) -> str:
     if _apart.search(t) and (m := ATTACHED.match(t)) is not None:
         t = m.group("t") or m.group("u")
     t = unicodedata.normalize("NFKC", t).casefold()
-    return _not_letter.sub("", t.translate(SYMBOLS))[:80]
+    return _not_letter.sub("", t.translate(SYMBOLS))
 
 
 def page_numbers(lines: list[str]) -> set[int]:
@@ -81,7 +83,7 @@ def page_numbers(lines: list[str]) -> set[int]:
     found, plain = set(), []
     for i, line in enumerate(lines):
         t = bare(line)
-        if not t or len(t) > 24:
+        if not t:
             continue
         if DECORATED.fullmatch(t):
             found.add(i)
@@ -121,7 +123,7 @@ def edges(lines: list[str], numbers: set[int]) -> dict[int, bool]:
     out: dict[int, bool] = {}
     for i, line in enumerate(lines):
         t = bare(line)
-        if i in numbers or not t or len(t) > 70 or t[-1] in END or (t[-1] == "." and not t.endswith("No.")):
+        if i in numbers or not t or t[-1] in END or (t[-1] == "." and not t.endswith("No.")):
             continue
         own = _apart.search(t) is not None and ATTACHED.match(t) is not None
         beside = (i - 1 in numbers) or (i + 1 in numbers)
@@ -139,22 +141,22 @@ def _edge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text in zip(b["doc_id"], b["content"]):
             lines = text.split("\n")
             found = edges(lines, page_numbers(lines))
-            for k, n in Counter(key(lines[i]) for i, sure in found.items() if sure or n_same(lines, i)).items():
-                own = any(ATTACHED.match(bare(lines[i])) for i in found if key(lines[i]) == k)
-                out.append((doc, k, n, own))
+            if not found:
+                continue
+            keys = {i: key(lines[i]) for i in found}
+            wanted = set(keys.values())
+            same = Counter(k for line in lines if (k := key(line)) in wanted)
+            own = {keys[i] for i in found if ATTACHED.match(bare(lines[i]))}
+            for k, n in Counter(keys[i] for i, sure in found.items() if sure or same[keys[i]] > 1).items():
+                out.append((doc, k, n, k in own))
             # what is said within a page, too, is no header: in scripts without end marks, and on documents without page lines
             unmarked = _unmarked_script.search(text)
             if unmarked or not any(found.values()):
-                short = [bare(line) for i, line in enumerate(lines) if 2 <= len(line) <= 70 and i not in found]
-                out += [(doc, k, -1, False) for k in {key(t) for t in short if t and t[-1] not in END and t[-1] != "."} if len(k) >= 2]
+                within = [bare(line) for i, line in enumerate(lines) if len(line) >= 2 and i not in found]
+                out += [(doc, k, -1, False) for k in {key(t) for t in within if t and t[-1] not in END and t[-1] != "."} if len(k) >= 2]
         yield pd.DataFrame(out, columns=["doc_id", "key", "n", "own"])
 
 
-def n_same(lines: list[str], i: int) -> bool:
-    k = key(lines[i])
-    return any(j != i and len(line) < 100 and key(line) == k for j, line in enumerate(lines))
-
-
 def headers(pages: DataFrame) -> DataFrame:
     """(doc_id, keys): the normalised running headers of each document: edge texts that recur in it or over the corpus."""
     found = cut(pages.mapInPandas(_edge_rows, "doc_id bigint, key string, n int, own boolean"))
@@ -172,14 +174,15 @@ def structure(lines: list[str], keys: list[str]) -> dict[int, str]:
     numbers = page_numbers(lines)
     out = {i: "page_number" for i in numbers}
     known = set(keys)
+    alike: dict[str, bool] = {}
     for i, sure in edges(lines, numbers).items():
         k = key(lines[i])
-        if k in known or (sure and any(SequenceMatcher(None, k, h).ratio() >= 0.8 for h in known)):
+        if k in known or (sure and _alike(k, known, alike)):
             out[i] = "header"
     if known and numbers:  # a header may stand alone within a page's text
         firsts = {k[0] for k in known}
         for i, line in enumerate(lines):
-            if i in out or len(line) >= 80 or (t := bare(line))[-1:] in END or not t:
+            if i in out or (t := bare(line))[-1:] in END or not t:
                 continue
             m = _first_letter.search(t)
             if m and (_apart.search(t) or m.group().casefold().translate(SYMBOLS)[0] in firsts) and key(line) in known:
@@ -187,14 +190,24 @@ def structure(lines: list[str], keys: list[str]) -> dict[int, str]:
     return out
 
 
+def _alike(k: str, known: set[str], seen: dict[str, bool]) -> bool:
+    """Whether a line's key is a known header's with a few characters misread."""
+    if k not in seen:
+        near = (h for h in known if min(len(h), len(k)) * 3 >= max(len(h), len(k)) * 2)
+        seen[k] = any((m := SequenceMatcher(None, k, h)).real_quick_ratio() >= 0.8 and m.quick_ratio() >= 0.8 and m.ratio() >= 0.8 for h in near)
+    return seen[k]
+
+
 def _body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc_id, line_no, what, a, b): page lines, broken words and the body's lines."""
+    """(doc_id, line_no, what, a, b, at, next_no): page lines, broken words and the body's lines.
+
+    ``at`` is the place of a broken word's first part in its line, ``next_no`` the line that holds the second."""
     for batch in batches:
         out = []
         for doc, text, keys in zip(batch["doc_id"], batch["content"], batch["keys"]):
             lines = text.split("\n")
             kinds = structure(lines, list(keys) if keys is not None else [])
-            out += [(doc, i, kind, "", "") for i, kind in kinds.items()]
+            out += [(doc, i, kind, "", "", 0, -1) for i, kind in kinds.items()]
             body = [i for i in range(len(lines)) if i not in kinds and bare(lines[i])]
             for i, j in zip(body, [*body[1:], -1]):
                 here = bare(lines[i])
@@ -202,9 +215,9 @@ def _body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 m = here[-1] in HYPHENS and _broken_word.search(here)
                 n = m and _word_start.match(after)
                 if m and n and _any_letter.search(n.group()):
-                    out.append((doc, i, "broken", m.group(1), n.group()))
-                out.append((doc, i, "line", here, after[:1]))
-        yield pd.DataFrame(out, columns=["doc_id", "line_no", "what", "a", "b"])
+                    out.append((doc, i, "broken", m.group(1), n.group(), m.start(), j))
+                out.append((doc, i, "line", here, "", 0, j))
+        yield pd.DataFrame(out, columns=["doc_id", "line_no", "what", "a", "b", "at", "next_no"])
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +231,7 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush():
         w = pd.DataFrame({"kind": "w", "x": list(words.keys()), "c": "", "n": list(words.values()), "clean": 0, "inside": 0})
-        han = [a for a in grams.keys() | clean.keys() if "぀" <= a[1] <= "鿿"]
+        han = [a for a in grams.keys() | clean.keys() if a[1] > "ɏ" and (a[1].isalpha() or unicodedata.category(a[1])[0] == "M")]
         g = pd.DataFrame({
             "kind": "g", "x": [a[0] + a[2] for a in han], "c": [a[1] for a in han], "n": [grams[a] + clean[a] for a in han],
             "clean": [clean[a] for a in han], "inside": [inside[a] for a in han],
@@ -235,7 +248,7 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if found and line and line[-1] in HYPHENS:
                     found = found[:-1]
                 words.update(found)
-            if not _han.search(t):
+            if not _beyond_latin.search(t):
                 continue
             joined = t.replace("\n", "").replace("\x0c", "")
             (grams if scanned else clean).update(zip(joined, joined[1:], joined[2:]))
@@ -323,69 +336,69 @@ def misread_characters(grams: DataFrame, ratio: int = 12, least: int = 6, share:
     by_c = pairs.groupBy("c").agg(F.sum("explained").alias("all_explained"))
     judged_pairs = pairs.join(totals, "c").join(by_c, "c").select(
         "c", "d",
-        ((F.col("explained") >= F.lit(share) * F.col("total")) & (F.col("explained") >= 0.5 * F.col("all_explained"))).alias("everywhere"),
+        # letters of alphabets have rare ones of their own, so that only places decide there
+        (F.col("c").rlike("[\u3040-\u9fff]") & (F.col("explained") >= F.lit(share) * F.col("total")) & (F.col("explained") >= 0.5 * F.col("all_explained"))).alias("everywhere"),
         ((F.col("due") >= expected) & (F.col("unscanned") * 20 <= F.col("scanned"))).alias("by_place"),
     )
     both = evidence.join(judged_pairs.where("everywhere or by_place"), ["c", "d"])
     return both.where(F.col("everywhere") | (judged & (F.col("clean") == 0) & (F.col("inside") > 0))).select("x", "c", "d")
 
 
-def damage(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no, kind, note) of every damaged line of the pdf documents' content, lines split at LF from 0.
+def analysis(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the pdf documents: (doc_id, line_no, kind, note) of page lines and broken words, and the corrections of misread
+    words and characters as (doc_id, line_no, owner_no, at, size, right): from ``at`` in the line without blanks around it,
+    ``size`` characters stand for ``right``; a word broken over a line goes on in the next one, and ``owner_no`` is the
+    line that holds the wrong character.
 
-    kind is 'header', 'page_number', 'hyphen' or 'misread'; note is the joined word or a correction.  Null and empty
-    contents have no lines; documents that show no damage give no rows; repeated documents give theirs again; an empty
-    table gives an empty result; further columns don't take part.  Counts cover the contents of all documents."""
+    Counts cover the contents of all documents."""
     rows = spread(documents.select("doc_id", "loader", "content").where("content is not null and content != ''"))
     pages = rows.where("loader = 'pdf'").select("doc_id", "content")
     counted = cut(
         rows.select("content", F.coalesce(F.col("loader") == "pdf", F.lit(False)).alias("scanned"))
         .mapInPandas(_words, "kind string, x string, c string, n bigint, clean bigint, inside bigint")
         .groupBy("kind", "x", "c").agg(*[F.sum(k).alias(k) for k in ("n", "clean", "inside")])
-    )
+    )
     words = counted.where("kind = 'w'").select(F.col("x").alias("word"), "n")
     grams = counted.where("kind = 'g'").select("x", "c", "n", "clean", "inside")
-    parts = cut(pages.join(headers(pages), "doc_id", "left").mapInPandas(_body, "doc_id bigint, line_no int, what string, a string, b string"))
+    parts = cut(
+        pages.join(headers(pages), "doc_id", "left").mapInPandas(_body, "doc_id bigint, line_no int, what string, a string, b string, at int, next_no int")
+    )
     fixed = parts.where("what in ('header', 'page_number')").select("doc_id", "line_no", F.col("what").alias("kind"), F.lit(None).cast("string").alias("note"))
 
-    broken = parts.where("what = 'broken'").select("doc_id", "line_no", "a", "b")
+    broken = parts.where("what = 'broken'").select("doc_id", "line_no", "a", "b", "at", "next_no")
     broken = broken.withColumn("joined", F.lower(F.concat("a", "b"))).withColumn("hyphened", F.lower(F.concat_ws("-", "a", "b")))
     n_joined = words.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     n_hyphened = words.select(F.col("word").alias("hyphened"), F.col("n").alias("n_hyphened"))
     known = broken.join(n_joined, "joined", "left").join(n_hyphened, "hyphened", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    hyphen = known.where(zero("n_hyphened") <= zero("n_joined")).select("doc_id", "line_no", F.lit("hyphen").alias("kind"), F.col("joined").alias("note"))
+    hyphen = known.where(zero("n_hyphened") <= zero("n_joined"))
+    marked = hyphen.select("doc_id", "line_no", F.lit("hyphen").alias("kind"), F.col("joined").alias("note"))
 
-    # words of body lines, whole or joined over a hyphen, each with the line of its wrong character
-    @F.pandas_udf("array<struct<word:string>>")
+    # words of body lines, whole or joined over a hyphen
+    @F.pandas_udf("array<struct<word:string,at:int>>")
     def line_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
             out = []
             for t in x:
-                found = WORD.findall(t.lower())
-                out.append([{"word": w} for w in {*(found[:-1] if t and t[-1] in HYPHENS else found)}])
+                found = [{"word": m.group(), "at": m.start()} for m in WORD.finditer(t.lower())] if len(t.lower()) == len(t) else []
+                out.append(found[:-1] if t and t[-1] in HYPHENS else found)
             yield pd.Series(out)
 
     lines = parts.where("what = 'line'")
-    own = lines.where(F.col("a").rlike(r"\p{IsLatin}")).select("doc_id", "line_no", F.explode(line_words("a")).alias("w")).select("doc_id", "line_no", "w.word")
-    whole = broken.select("doc_id", "line_no", F.col("joined").alias("word"), F.length("a").alias("cut_at"))
+    own = lines.where(F.col("a").rlike(r"\p{IsLatin}")).select("doc_id", "line_no", F.explode(line_words("a")).alias("w")).select("doc_id", "line_no", "w.*")
+    whole = broken.select("doc_id", "line_no", "next_no", "at", F.col("joined").alias("word"), F.length("a").alias("cut_at"))
     wanted = own.select("word").union(whole.select("word")).distinct()
     wrong = cut(misread_words(words, wanted))
-    in_line = own.join(wrong, "word").select("doc_id", "line_no", "correction")
-    # a joined word counts for the line that holds the first difference
-    following = parts.where("what = 'line'").select("doc_id", F.col("line_no").alias("next_no"))
-    over = whole.join(wrong, "word")
+    in_line = own.join(wrong, "word").select("doc_id", "line_no", F.col("line_no").alias("owner_no"), "at", F.length("word").alias("size"), F.col("correction").alias("right"))
 
     @F.pandas_udf("int")
     def first_difference(w: pd.Series, v: pd.Series) -> pd.Series:
         return pd.Series([next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b))) for a, b in zip(w, v)], dtype="int32")
 
-    over = over.withColumn("at", first_difference("word", "correction"))
-    first = over.where("at < cut_at").select("doc_id", "line_no", "correction")
-    second = (
-        over.where("at >= cut_at").join(following, "doc_id").where("next_no > line_no")
-        .groupBy("doc_id", "line_no", "correction").agg(F.min("next_no").alias("next_no"))
-        .select("doc_id", F.col("next_no").alias("line_no"), "correction")
+    over = whole.join(wrong, "word").withColumn("first", first_difference("word", "correction"))
+    over = over.select(
+        "doc_id", "line_no", F.when(F.col("first") < F.col("cut_at"), F.col("line_no")).otherwise(F.col("next_no")).alias("owner_no"), "at",
+        F.length("word").alias("size"), F.col("correction").alias("right"),
     )
 
     bad = cut(misread_characters(grams))
@@ -397,62 +410,107 @@ def damage(documents: DataFrame) -> DataFrame:
             out = []
             for doc, text in zip(b["doc_id"], b["content"]):
                 if not shared.value.isdisjoint(text):
-                    joined, at, line = [], [], 0
-                    for ch in text:
-                        if ch == "\n":
-                            line += 1
-                        elif ch != "\x0c":
-                            joined.append(ch)
-                            at.append(line)
-                    for i in range(1, len(joined) - 1):
-                        if joined[i] in shared.value:
-                            out.append((doc, at[i], joined[i - 1] + joined[i + 1], joined[i]))
-            yield pd.DataFrame(out, columns=["doc_id", "line_no", "x", "c"])
-
-    seen = pages.mapInPandas(occurrences, "doc_id bigint, line_no int, x string, c string")
-    characters = seen.join(bad, ["x", "c"]).select("doc_id", "line_no", F.col("d").alias("correction"))
-    misread = in_line.union(first).union(second).union(characters).groupBy("doc_id", "line_no").agg(F.min("correction").alias("note"))
-    misread = misread.join(fixed.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
-    return fixed.union(hyphen).union(misread.select("doc_id", "line_no", F.lit("misread").alias("kind"), "note"))
+                    joined, at = [], []
+                    for no, line in enumerate(text.split("\n")):
+                        plain = line.replace("\x0c", "")
+                        lead = len(plain) - len(plain.lstrip())
+                        joined.append(plain)
+                        at += [(no, i - lead) for i in range(len(plain))]
+                    t = "".join(joined)
+                    out += [(doc, *at[i], t[i - 1] + t[i + 1], t[i]) for i in range(1, len(t) - 1) if t[i] in shared.value]
+            yield pd.DataFrame(out, columns=["doc_id", "line_no", "at", "x", "c"])
+
+    seen = pages.mapInPandas(occurrences, "doc_id bigint, line_no int, at int, x string, c string")
+    characters = seen.join(bad, ["x", "c"]).groupBy("doc_id", "line_no", "at").agg(F.max("d").alias("right"))
+    characters = characters.select("doc_id", "line_no", F.col("line_no").alias("owner_no"), "at", F.lit(1).alias("size"), "right")
+    corrections = in_line.union(over).union(characters).join(fixed.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_anti")
+    return fixed.union(marked), corrections
+
+
+def damage(documents: DataFrame) -> DataFrame:
+    """(doc_id, line_no, kind, note) of every damaged line of the pdf documents' content, lines split at LF from 0.
+
+    kind is 'header', 'page_number', 'hyphen' or 'misread'; note is the joined word, or the corrections in their order,
+    parted by blanks.  Null and empty contents have no lines; documents that show no damage give no rows; repeated
+    documents give theirs again; an empty table gives an empty result; further columns don't take part."""
+    marked, corrections = analysis(documents)
+    by_line = corrections.groupBy("doc_id", F.col("owner_no").alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("at", "right"))).alias("c"))
+    note = F.array_join(F.transform("c", lambda x: x["right"]), " ")
+    return marked.union(by_line.select("doc_id", "line_no", F.lit("misread").alias("kind"), note.alias("note")))
 
 
 def repaired(documents: DataFrame) -> DataFrame:
     """(doc_id, content): the pdf documents as continuous paragraphs, without headers and page numbers, broken words
-    joined.  Blank lines part paragraphs; null contents stay null."""
+    joined and misread words and characters corrected, letters keeping their case.
+
+    Blank lines part paragraphs.  Null contents stay null, contents without damage are only joined to paragraphs;
+    repeated documents come out as often as they occur, an empty table gives an empty result."""
     pages = documents.where("loader = 'pdf'").select("doc_id", "content")
-    found = damage(documents).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "kind", "note")).alias("found"))
+    marked, corrections = analysis(documents)
+    nothing = [F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit("").alias("right")]
+    each = marked.select("doc_id", "line_no", "kind", *nothing).union(corrections.select("doc_id", "line_no", F.lit("misread"), "at", "size", "right"))
+    found = each.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "kind", "at", "size", "right")).alias("found"))
 
     @F.pandas_udf("string")
     def repair(content: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([_repair(t, f) for t, f in zip(content, found)], dtype=object)
+        return pd.Series([None if t is None else _repair(t, f if f is not None else []) for t, f in zip(content, found)], dtype=object)
+
+    return pages.join(found, "doc_id", "left").select("doc_id", repair("content", "found").alias("content"))
+
 
-    joined = pages.join(found, "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("found").isNull(), F.col("content")).otherwise(repair("content", "found")).alias("content"))
+def recase(wrong: str, right: str) -> str:
+    """``right`` in place of ``wrong``: what both share stays as it stands, the rest takes the case of the word."""
+    low = wrong.lower()
+    a = next((i for i, (p, q) in enumerate(zip(low, right)) if p != q), min(len(low), len(right)))
+    b = 0
+    while b < min(len(low), len(right)) - a and low[-1 - b] == right[-1 - b]:
+        b += 1
+    middle = right[a : len(right) - b]
+    letters = [c for c in wrong if c.isalpha()]
+    if a == 0 and len(letters) and letters[0].isupper() and wrong[:1].isalpha():
+        middle = middle[:1].upper() + middle[1:]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        middle = middle.upper()
+    return wrong[:a] + middle + wrong[len(wrong) - b :]
 
 
-def _repair(text: str | None, found) -> str | None:
-    if text is None:
-        return None
+def _repair(text: str, found) -> str:
     kinds: dict[int, set[str]] = {}
+    edits: list[tuple[int, int, int, str]] = []
     for f in found:
         kinds.setdefault(int(f["line_no"]), set()).add(f["kind"])
-    lines = text.split("\n")
-    pages_removed = [i for i, k in kinds.items() if k & {"header", "page_number"}]
-    out, glue, after_page = "", "", False
-    for i, line in enumerate(lines):
-        if i in pages_removed:
+        if f["kind"] == "misread":
+            edits.append((int(f["line_no"]), int(f["at"]), int(f["size"]), f["right"]))
+    out, length, glue, after_page = [], 0, "", False
+    begins: dict[int, int] = {}
+    last = ""
+    for i, line in enumerate(text.split("\n")):
+        if kinds.get(i, set()) & {"header", "page_number"}:
             after_page = True
             continue
         t = bare(line)
         if not t:
-            if not after_page and out and not out.endswith("\n\n"):
-                out, glue = out + "\n\n", ""
+            if not after_page and out and last != "\n\n":
+                out.append("\n\n")
+                length, glue, last = length + 2, "", "\n\n"
             continue
         after_page = False
-        spaced = not (out and _ends_wide.search(out) and _starts_wide.match(t))
-        out += (glue if glue != " " or spaced else "") + t
-        if "hyphen" in kinds.get(i, ()):
-            out, glue = out[:-1], ""
-        else:
-            glue = " "
-    return out.rstrip()
+        spaced = not (last and _ends_wide.search(last) and _starts_wide.match(t))
+        if glue and spaced:
+            out.append(glue)
+            length += len(glue)
+        begins[i] = length
+        broken = "hyphen" in kinds.get(i, ())
+        last = t[:-1] if broken else t
+        out.append(last)
+        length, glue = length + len(last), "" if broken else " "
+    whole = "".join(out)
+    # wider corrections first, none over another
+    done: list[tuple[int, int, str]] = []
+    for line, at, size, right in sorted(edits, key=lambda e: (-e[2], e[0], e[1])):
+        a = begins.get(line, -1) + at
+        if line in begins and at >= 0 and all(a + size <= p or a >= q for p, q, _ in done):
+            done.append((a, a + size, right))
+    for a, e, right in sorted(done, reverse=True):
+        whole = whole[:a] + recase(whole[a:e], right) + whole[e:]
+    return whole.rstrip()

@@ -169,7 +169,13 @@ def test_damage(spark):
     assert got == {(0, "header"), (1, "page_number"), (5, "header"), (6, "page_number"), (2, "hyphen"), (3, "misread")}
     assert scans.damage(df).where("doc_id != 100").count() == 0 and scans.damage(df.limit(0)).count() == 0
     fixed = scans.repaired(df).where("doc_id = 100").first().content
-    assert "sleeping person" in fixed and "Notes" not in fixed and "well-" in fixed
+    assert fixed == "the perhaps sleeping person walked towards the well- being house. and perhaps people."
+    plain = {r.doc_id: r.content for r in scans.repaired(spark.createDataFrame([(1, "pdf", "One line\nand on.\n\nTwo."), (2, "pdf", None), (3, "pdf", "")], df.schema)).collect()}
+    assert plain == {1: "One line and on.\n\nTwo.", 2: None, 3: ""}
+
+
+def test_recase():
+    assert scans.recase("T0WARDS", "towards") == "TOWARDS" and scans.recase("Rnorning", "morning") == "Morning" and scans.recase("c1ient", "client") == "client"
 
 
 def test_misread_common_characters(spark):

@@ -38,7 +38,7 @@ BITS = 24
 SAMPLE = 6000
 #: Vectors in a leaf, at most, where deeper prefixes exist.
 LEAF = 1024
-#: Difference from a vector's nearest direction below which it has a string under another one too, for pairs.
+#: Difference of a vector's two nearest directions below which it has a string under both, for pairs.
 MARGIN = 0.05
 #: Share of a model's vectors that the ascent gathers over all trees, and how many at least.
 ASCENT = 0.07
@@ -170,7 +170,7 @@ def _floats(q: pd.Series) -> np.ndarray:
 def strings(units: DataFrame, forests, margin: float = 0.0) -> DataFrame:
     """(model, tree, symbol, bits, h, q): every class's hash string in every tree, with its 8-bit vector.
 
-    A vector has a string under every direction that is less than ``margin`` farther than its nearest, so that close
+    A vector whose two nearest directions differ by less than ``margin`` has a string under each of them, so that close
     vectors on two sides of a border still meet."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +182,14 @@ def strings(units: DataFrame, forests, margin: float = 0.0) -> DataFrame:
                 q = np.array([r.tobytes() for r in _quantised(x)], dtype=object)
                 for tree in range(TREES):
                     near = x @ forest.directions[tree].T
-                    at, symbol = np.nonzero(near >= near.max(1, keepdims=True) - margin) if margin > 0 else (np.arange(len(x)), near.argmax(1))
+                    symbol = near.argmax(1)
+                    at = np.arange(len(x))
+                    if margin > 0 and near.shape[1] > 1:
+                        best = near[at, symbol].copy()
+                        near[at, symbol] = -2
+                        second = near.argmax(1)
+                        also = np.nonzero(best - near[at, second] < margin)[0]
+                        at, symbol = np.concatenate([at, also]), np.concatenate([symbol, second[also]])
                     bits = forest.bits(x[at], tree, symbol)
                     yield pd.DataFrame({"model": model, "tree": tree, "symbol": symbol, "bits": bits, "h": g["h"].to_numpy()[at], "q": q[at]})
 
@@ -201,6 +208,11 @@ def _leaves(bits: np.ndarray, depth: int, start: int, end: int) -> Iterator[tupl
         todo += [(depth + 1, start, middle), (depth + 1, middle, end)]
 
 
+def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, broadcast if it has at most ``most`` (narrow) rows; beyond, the join shuffles it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _parted(rows: DataFrame, step: int = 4) -> DataFrame:
     """``rows`` with (depth, prefix, part, block): groups of at most about ``BLOCK`` rows that hold all pairs of a leaf.
 
@@ -216,12 +228,12 @@ def _parted(rows: DataFrame, step: int = 4) -> DataFrame:
     at = [*keys, "depth", "prefix"]
     large = sizes.select(*keys, F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("prefix"), "n")
     for depth in range(0, BITS, step):  # at most total / BLOCK prefixes are too large on a level
-        rows = rows.withColumn("prefix", prefix).join(large.drop("n").withColumn("large", F.lit(True)), at, "left")
+        rows = rows.withColumn("prefix", prefix).join(_small(large.drop("n").withColumn("large", F.lit(True))), at, "left")
         rows = rows.withColumn("depth", F.when(F.col("large"), depth + step).otherwise(F.col("depth"))).drop("large", "prefix")
         counted = rows.where(f"depth = {depth + step}").groupBy(*keys, "depth", prefix.alias("prefix")).agg(F.count("*").alias("n"))
         large = cut(counted.where(f"n > {BLOCK}"))
     blocks = large.select(*at, F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("blocks"))
-    rows = rows.withColumn("prefix", prefix).join(blocks, at, "left").fillna(1, ["blocks"])
+    rows = rows.withColumn("prefix", prefix).join(_small(blocks), at, "left").fillna(1, ["blocks"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     both = rows.withColumn("other", other).withColumn("part", F.concat_ws("-", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")))

@@ -62,14 +62,11 @@ def words(c: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    """Neighbouring pairs of characters of the lower-case text, none across a line break.
-
-    Lines of fewer than two characters have none."""
-    line_pairs = lambda line: F.when(
-        F.length(line) >= 2,
-        F.transform(F.sequence(F.lit(1), F.length(line) - 1), lambda i: F.substring(line, i, F.lit(2))),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(F.split(F.lower(c), "\n"), line_pairs))
+    """Neighbouring pairs of characters of the lower-case text, none across a line break; first those that begin at even
+    places, then the others: two passes, whatever the length."""
+    low = F.lower(c)
+    pairs = lambda t: F.regexp_extract_all(t, F.lit("(?s).."), F.lit(0))
+    return F.filter(F.concat(pairs(low), pairs(F.substring(low, F.lit(2), F.length(low)))), lambda p: ~F.contains(p, F.lit("\n")))
 
 
 def tokens(c: Column) -> Column:

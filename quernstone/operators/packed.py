@@ -71,7 +71,8 @@ def split_packed(df: DataFrame, key: str, field: str, key_as: str = "question_id
     split = t.select("k", "listed", F.explode(F.array(_raw_values(inner))).alias("raw"))
     stripped = split.select("k", "listed", F.transform("raw", _strip).alias("raw"))
     empty = lambda x: F.when(F.col("listed"), x.rlike(NOTHING_LISTED)).otherwise(x.rlike(NOTHING))
-    each = stripped.select("k", "listed", F.posexplode(F.filter("raw", lambda x: ~empty(x))).alias("pos", "v"))
+    # the outer form: for the inner one the optimizer adds a filter on the array's size and splits every field twice
+    each = stripped.select("k", "listed", F.posexplode_outer(F.filter("raw", lambda x: ~empty(x))).alias("pos", "v")).where("v is not null")
     v = F.col("v")
     sized = each.withColumn("quoted", v.rlike(f"(?s)^{QUOTED}$") & (F.length(v) >= 2))
     bare = F.expr("substring(v, 2, length(v) - 2)")

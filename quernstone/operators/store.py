@@ -50,6 +50,20 @@ def insert(df: DataFrame, new: DataFrame, id_: str, *order: str) -> DataFrame:
     return df.unionByName(placed.drop("__p", "__i", "__first", "__before"), allowMissingColumns=True)
 
 
+def number_within(df: DataFrame, group: str, order: str, as_: str) -> DataFrame:
+    """(group, order, as_): the place, from 0, of every row among its group's by ``order``.
+
+    Rows are range-partitioned and numbered in each partition after the counts of the group in the partitions before it,
+    so that a group that holds a third of all rows is spread like the others."""
+    parts = df.select(group, order).repartitionByRange(group, order).sortWithinPartitions(group, order)
+    numbered = cut(parts.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
+    counts = numbered.groupBy(group, "__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
+    before = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = counts.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    placed = numbered.join(offsets, numbered[group].eqNullSafe(offsets["__g"]) & (F.col("__p") == F.col("__q")))
+    return placed.select(group, order, (F.col("__i") - F.col("__first") + F.col("__before")).alias(as_))
+
+
 def insert_or_ignore(df: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """``df`` with the rows of ``new`` whose keys it lacks."""
     return df.unionByName(new.join(df.select(*keys).distinct(), list(keys), "left_anti"), allowMissingColumns=True)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import scoring, text
-from quernstone.operators import chunking, retrieval
+from quernstone.operators import chunking, retrieval, store
 from quernstone.plans.text_queries import WORDS, tokens_sql
 from quernstone.session import cut, spread, table
 
@@ -52,6 +52,10 @@ def top_sql(source: str, k: int, extra: str = "") -> str:
     return f"select query_id, id, score{extra}, row_number() over (partition by query_id order by score desc, id) as rank from {source} qualify row_number() over (partition by query_id order by score desc, id) <= {k}"
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "document_chunks").select("id", F.coalesce("content", F.lit("")).alias("content"))
+
+
 @query(f"with {LEXICAL} {top_sql('lex', K)}")
 def lexical_topk(spark, sf):
     """The ten chunks with the highest token cosine for each title (K-L1, C7, D9, J1)."""
@@ -174,11 +178,9 @@ POSITIONS = "pos as (select id, document_id, row_number() over (partition by doc
 
 
 def _positions(spark, sf) -> DataFrame:
-    """Chunks by their place in the document; a document that holds a tenth of all rows is numbered in one sort."""
-    from pyspark.sql.window import Window
-
-    c = table(spark, sf, "document_chunks").select("id", "document_id", "content")
-    return c.withColumn("chunk_index", F.row_number().over(Window.partitionBy("document_id").orderBy("id")) - 1)
+    """(id, document_id, chunk_index): chunks by their place in the document, without their texts."""
+    places = store.number_within(table(spark, sf, "document_chunks"), "document_id", "id", "chunk_index")
+    return cut(places.select("id", "document_id", "chunk_index"))
 
 
 @query(
@@ -188,9 +190,9 @@ def _positions(spark, sf) -> DataFrame:
 )
 def chunk_window(spark, sf):
     """Each title's best chunks with their neighbours' text."""
-    pos = _positions(spark, sf).withColumn("content", F.coalesce("content", F.lit("")))
+    pos = _positions(spark, sf)
     hits = lexical_topk(spark, sf).join(pos.select("id", "document_id", "chunk_index"), "id").select("query_id", "document_id", "chunk_index", "score")
-    w = retrieval.windows(hits, pos, 1)
+    w = retrieval.windows(hits, pos, _texts(spark, sf), 1)
     return w.select("query_id", "document_id", "chunk_index", "score", "window_start", "window_end", F.md5("window_text").alias("window_md5"))
 
 
@@ -297,6 +299,6 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Fusion search of each summary with the windows of its hits."""
     pos = _positions(spark, sf)
     hits = fusion(spark, sf).join(pos.select("id", "document_id", "chunk_index"), "id")
-    return retrieval.windows(hits.select("query_id", "document_id", "chunk_index", "score", "semantic_score", "lexical_score", "rank"), pos, 1)
+    return retrieval.windows(hits.select("query_id", "document_id", "chunk_index", "score", "semantic_score", "lexical_score", "rank"), pos, _texts(spark, sf), 1)
 
 

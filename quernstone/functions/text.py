@@ -13,9 +13,14 @@ HAN = r"\x{4e00}-\x{9fff}"
 STOP_TERMS = [
     "这个", "问题", "回答", "什么", "怎么", "应该", "可以", "需要", "不要", "不是", "没有", "以及", "对于", "如果", "时候", "读者", "情绪", "角度", "检索", "知识", "片段", "内容",
 ]
-#: Markers of spoken style and marks of block pages, fixed values.
-STYLE_MARKERS = ["我觉得", "我感觉", "其实", "可能", "也许", "但是", "所以", "因为", "如果", "当然", "并不是", "往往", "只是", "真的"]
-BLOCK_MARKS = ["安全验证", "403", "404", "访问过于频繁", "页面不存在"]
+#: Markers of spoken style, fixed values.
+STYLE_MARKERS = [
+    "我觉得", "我感觉", "其实", "可能", "也许", "但是", "所以", "而且", "某种程度", "说到底", "说实话", "认真说", "有点", "反而", "大概", "只是", "还是", "确实", "本质上", "后来", "突然",
+]
+#: Words for people close to the writer, fixed values.
+RELATION_WORDS = ["同事", "朋友", "老师", "领导", "室友", "同学", "前任", "对象", "家人", "爸爸", "妈妈", "父亲", "母亲"]
+#: What titles of blocked pages hold, fixed values.
+BLOCK_MARKS = ["安全验证", "知乎 - 有问题", "知乎，中文互联网", "403", "验证码"]
 
 
 def text_col(c: Column | str) -> Column:
@@ -101,18 +106,17 @@ def clean_extracted(c: Column) -> Column:
 def anonymise(c: Column) -> Column:
     """E-mail addresses, mobile numbers, Latin names and accounts, chat ids, named relatives and nicknames, in this order;
     an earlier rule hides text from the later ones."""
-    relations = "对象|家人|爸爸|妈妈|父亲|母亲|老公|老婆|前任|朋友|同事|男友|女友"
     rules = [
         (r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[邮箱]"),
         (r"(?<!\d)1[3-9]\d{9}(?!\d)", "[手机号]"),
         (r"(?U)\b[A-Za-z][A-Za-z0-9_.-]{2,20}\b", "[英文名/账号]"),
         (r"(?iU)微信[:：]?\s*[\w.-]{4,}", "微信：[账号]"),
         (r"(?i)QQ[:：]?\s*\d{5,12}", "QQ：[账号]"),
-        *[(f"({w})([叫是为])?[{HAN}]{{2,4}}", "$1[某人]") for w in relations.split("|")],
+        *[(f"({w})([叫是为])?[{HAN}]{{2,4}}", "$1[某人]") for w in RELATION_WORDS],
         (f"小[{HAN}]", "小某"),
         (f"老[{HAN}]", "老某"),
     ]
-    return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1].replace("$", "$") if "$1" in r[1] else r[1]), rules, c)
+    return reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), rules, c)
 
 
 def mask_contacts(c: Column) -> Column:
@@ -131,8 +135,25 @@ def strip_tags(c: Column) -> Column:
 
 
 def clean_title(c: Column) -> Column:
-    """Without a count of messages before it, with blanks collapsed."""
-    return strip(collapse(F.regexp_replace(c, r"^\s*\(\d+\s*封私信\s*/\s*\d+\s*条消息\)\s*|^\s*\(\d+\s*条(?:私信|消息)\)\s*", "")))
+    """Without markup, a count of messages before it and the site's name after it, blanks collapsed."""
+    c = F.regexp_replace(strip(strip_tags(c)), r"^\([^)]*(私信|消息)[^)]*\)\s*", "")
+    return collapse(F.regexp_replace(strip(c), r"\s*-\s*知乎.*$", ""))
+
+
+def clean_tags(c: Column) -> Column:
+    """Tags without markup and white space."""
+    return F.regexp_replace(strip_tags(c), f"{BLANK}+", "")
+
+
+def after_label(line: Column) -> Column:
+    """What follows the first wide colon, stripped; lines without one as they are."""
+    return strip(F.regexp_replace(line, "^[^：]*：", ""))
+
+
+def even_positions(n: Column, most: int) -> Column:
+    """At most ``most`` positions of 0 to n - 1, evenly spaced, both ends among them; halves go to the even one."""
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (n - 1) / (most - 1)).cast("int"))
+    return F.when(n <= most, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)).otherwise(F.array_distinct(spaced))
 
 
 def fit_input(c: Column, most: int = 8000) -> Column:

@@ -35,7 +35,7 @@ def chunks(df: DataFrame, key: str, text: str, size: int = 520, overlap: int = 8
 
 
 def spans(df: DataFrame, key: str, text: str, size: int = 520, overlap: int = 0) -> DataFrame:
-    """(key, chunk_index, start_char, end_char, content); empty and null texts have no spans."""
+    """(key, chunk_index, n_chars of the text, start_char, end_char, content); empty and null texts have no spans."""
     size = max(100, size)
     overlap = min(max(0, overlap), size - 1)
     step = size - overlap
@@ -43,7 +43,7 @@ def spans(df: DataFrame, key: str, text: str, size: int = 520, overlap: int = 0)
     cut = t.select(key, "t", F.explode(_starts(F.length("t"), size, step)).alias("chunk_index"))
     start = F.col("chunk_index") * step
     return cut.select(
-        key, "chunk_index", start.cast("int").alias("start_char"), F.least(start + size, F.length("t")).cast("int").alias("end_char"),
+        key, "chunk_index", F.length("t").alias("n_chars"), start.cast("int").alias("start_char"), F.least(start + size, F.length("t")).cast("int").alias("end_char"),
         F.substring("t", start + 1, F.lit(size)).alias("content"),
     )
 
@@ -53,14 +53,13 @@ def hierarchy(df: DataFrame, key: str, text: str, sizes: tuple[int, ...] = HIERA
 
     The parent follows from the middle's place in closed form, so no interval join is needed."""
     sizes = tuple(sorted({max(100, s) for s in sizes}))
-    length = F.max("end_char").over(Window.partitionBy(key))
     levels = []
     for level, size in enumerate(sizes):
         nodes = spans(df, key, text, size, 0)
         if level + 1 < len(sizes):
             up = sizes[level + 1]
             middle = (F.col("start_char") + F.col("end_char")) / 2
-            n_parents = F.greatest(F.lit(1), F.ceil(length / float(up)))
+            n_parents = F.greatest(F.lit(1), F.ceil(F.col("n_chars") / float(up)))
             parent = F.concat(F.lit(f"L{level + 1}:"), F.least(F.floor(middle / up), n_parents - 1).cast("int").cast("string"))
         else:
             parent = F.lit(None).cast("string")

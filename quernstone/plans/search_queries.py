@@ -302,3 +302,58 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.windows(hits.select("query_id", "document_id", "chunk_index", "score", "semantic_score", "lexical_score", "rank"), pos, _texts(spark, sf), 1)
 
 
+def _query_lexical(source: str) -> str:
+    """The CTEs of LEXICAL for the queries in ``source``."""
+    return LEXICAL.replace(Q + ",", "").replace("from q)", f"from {source})")
+
+
+HYBRID = f"""
+sv as (select document_id as query_id, coalesce(summary, '') as query, embedding_model, v from ({VECTORS.format(t='document_summaries')}) where {USABLE} and document_id % {EVERY} = 0),
+cv as (select id, embedding_model, v from ({VECTORS.format(t='document_chunks')}) where {USABLE}),
+vs as (select query_id, id, round(list_cosine_similarity(sv.v, cv.v), 4) as score from sv join cv using (embedding_model)),
+{_query_lexical('sv')}, ht as (select query_id, id, score from ({top_sql('vs', 8 * K)})), hl as (select query_id, id, score from ({top_sql('lex', 8 * K)})),
+both_ as (select query_id, id, coalesce(ht.score, 0) as s, coalesce(hl.score, 0) as l from ht full join hl using (query_id, id)),
+nrm as (select *, case when max(s) over (partition by query_id) > 0 then s / max(s) over (partition by query_id) else 0 end as sn, case when max(l) over (partition by query_id) > 0 then l / max(l) over (partition by query_id) else 0 end as ln from both_),
+trm as (select query_id, list_distinct(list_filter({tokens_sql('query')}, lambda t: length(t) >= 2 and not regexp_full_match(t, '[0-9]+') and t not in ({", ".join(f"'{t}'" for t in text.STOP_TERMS)}))) as terms from sv),
+scored as (select n.query_id, n.id, s as semantic_score, l as lexical_score, round(0.55 * sn + 0.35 * ln + 0.10 * least(1.0, len(list_filter(terms, lambda t: contains(lower(coalesce(c.content, '')), t))) / 8.0), 4) as score from nrm n join trm using (query_id) join document_chunks c using (id)),
+hyb as (select query_id, id, semantic_score, lexical_score, score from scored where (semantic_score >= 0.56 or lexical_score >= 0.12) and score >= 0)
+"""
+
+
+@query(f"with {HYBRID} {top_sql('hyb', K, ', semantic_score, lexical_score')}")
+def hybrid_first(spark, sf):
+    """First-generation hybrid search of the summaries (K-L3, K-L5, K-L13, B6, J7): both channels over-fetched, normalised,
+    weighted 0.55 / 0.35 with 0.10 for exact terms, thresholds, top ten."""
+    queries = cut(_summaries(spark, sf))
+    rows = retrieval.usable_vectors(table(spark, sf, "document_chunks").select("id", "embedding_json", "embedding_model"), table(spark, sf, "embedding_models"))
+    semantic = retrieval.vector_top_k(queries.select("query_id", "v", "embedding_model"), spread(rows), "id", 8 * K, "embedding_model")
+    lexical = retrieval.lexical_scores(queries.select("query_id", "query"), _chunks(spark, sf), "id")
+    lexical = retrieval.top_k(lexical, ["query_id"], [F.desc("score"), F.asc("id")], 8 * K).drop("rank")
+    terms = queries.select("query_id", text.query_terms(F.col("query")).alias("terms"))
+    scored = retrieval.weigh(semantic, lexical, terms, _texts(spark, sf), "id", scoring.HYBRID)
+    kept = scored.where(scoring.passes_any(F.col("semantic_score"), F.col("lexical_score"), F.col("score"), (0.56, 0.12, 0.0)))
+    return retrieval.top_k(kept, ["query_id"], [F.desc("score"), F.asc("id")], K).select("query_id", "id", "score", "semantic_score", "lexical_score", "rank")
+
+
+@query(f"with {LEXICAL}, ok as (select * from lex where score >= 0.12 and score >= 0.0) {top_sql('ok', K)}")
+def lexical_only(spark, sf):
+    """Hits of titles that have no vector: the lexical channel alone with its threshold."""
+    s = retrieval.lexical_scores(_titles(spark, sf), _chunks(spark, sf), "id").where("score >= 0.12")
+    return retrieval.top_k(s, ["query_id"], [F.desc("score"), F.asc("id")], K).select("query_id", "id", "score", "rank")
+
+
+FOLDERS = ["讲义", "默认"]
+
+
+@query(
+    f"with {FUSED}, ok as (select f.query_id, f.id, f.score, d.doc_id as document_id, d.title from fused f join document_chunks c on c.id = f.id join documents d on d.doc_id = c.document_id "
+    f"where coalesce(d.folder, '默认') in ({', '.join(repr(x) for x in FOLDERS)}) and not starts_with(coalesce(d.source, ''), 'past_answer:') and (semantic_score >= 0.56 or lexical_score >= 0.12 or (semantic_score = 0 and lexical_score = 0)) and score >= 0.2) "
+    f"{top_sql('ok', K, ', document_id, title')}"
+)
+def search_pipeline(spark, sf):
+    """Fused hits restricted to folders and the library, thresholds, top ten with their documents (K1, K10, K-L12, B9, K12)."""
+    d = table(spark, sf, "documents").where(store.folder_of().isin(FOLDERS) & ~F.coalesce("source", F.lit("")).startswith("past_answer:"))
+    c = table(spark, sf, "document_chunks").select("id", "document_id").join(d.select(F.col("doc_id").alias("document_id"), "title"), "document_id")
+    f = _fused(spark, sf)
+    ok = scoring.passes_any(F.col("semantic_score"), F.col("lexical_score"), F.col("score"), (0.56, 0.12, 0.2), both_zero=True)
+    return retrieval.top_k(f.where(ok).join(c, "id"), ["query_id"], [F.desc("score"), F.asc("id")], K).select("query_id", "id", "score", "document_id", "title", "rank")

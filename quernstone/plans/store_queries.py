@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.operators import store
-from quernstone.session import table
+from quernstone.functions import text
+from quernstone.operators import chunking, store
+from quernstone.plans import text_queries as texts
+from quernstone.session import big, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,10 +24,6 @@ def query(sql: str | None = None):
     return register
 
 
-def big(c):
-    return (F.col(c) if isinstance(c, str) else c).cast("bigint")
-
-
 @query("select doc_id, title, source, coalesce(folder, '默认') as folder, cast(length(content) as bigint) as size, created_at from documents")
 def doc_list(spark: SparkSession, sf: str) -> DataFrame:
     """Listing of documents (B1)."""
@@ -118,16 +116,11 @@ def pdf_suffix(spark, sf):
     return table(spark, sf, "documents").where(F.lower("title").endswith(".pdf")).select("doc_id", "title")
 
 
-@query(
-    "select id, status, heat, row_number() over (partition by status order by heat desc nulls last, id desc) as place from questions "
-    "qualify row_number() over (partition by status order by heat desc nulls last, id desc) <= 20"
-)
+@query("select id, status, heat from questions order by (status = 'new') desc nulls last, heat desc nulls last, id desc limit 100")
 def question_board(spark, sf):
-    """The twenty hottest questions of each status (F1)."""
-    from quernstone.operators.retrieval import top_k
-
+    """The first hundred questions of the board: new ones first, then by heat (F1), a top-k report."""
     q = table(spark, sf, "questions").select("id", "status", "heat")
-    return top_k(q, ["status"], [F.desc_nulls_last("heat"), F.desc("id")], 20, "place")
+    return q.orderBy(F.desc_nulls_last(F.col("status") == "new"), F.desc_nulls_last("heat"), F.desc("id")).limit(100)
 
 
 @query(
@@ -273,28 +266,35 @@ def insert_or_ignore_folder(spark, sf):
     return store.insert_or_ignore(f, table(spark, sf, "documents").where("folder is not null").select(F.col("folder").alias("name")).distinct(), "name")
 
 
+SUMMARISED = (
+    f"select doc_id as document_id, case when length(t) <= 900 then t else coalesce(title, '') || chr(10) || chr(10) || substring(t, 1, 450) || chr(10) || '...' || chr(10) || right(t, 450) end as summary from (select doc_id, title, {texts.FLAT} as t from documents)"
+)
+
+
 @query(
-    "with n as (select doc_id as document_id, substring(content, 1, 120) as summary from documents where folder = '讲义' and content is not null) "
-    "select s.document_id, s.summary, s.created_at from document_summaries s where s.document_id not in (select document_id from n) "
+    f"with n as ({SUMMARISED}) select s.document_id, s.summary, s.created_at from document_summaries s where s.document_id not in (select document_id from n) "
     "union all select n.document_id, n.summary, s.created_at from n left join document_summaries s on s.document_id = n.document_id"
 )
 def upsert_summary(spark, sf):
-    """Summaries after those of one folder were written again; their creation times stay (H5)."""
+    """Summaries after every document was summarised again; creation times stay (H5)."""
     old = table(spark, sf, "document_summaries").select("document_id", "summary", "created_at")
-    new = table(spark, sf, "documents").where("folder = '讲义' and content is not null").select(F.col("doc_id").alias("document_id"), F.substring("content", 1, 120).alias("summary"))
+    d = table(spark, sf, "documents")
+    new = d.select(F.col("doc_id").alias("document_id"), text.head_tail_summary(F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("summary"))
     return store.upsert(old, new, "document_id", keep=("created_at",))
 
 
+CHUNKED = texts.SQL["chunks"].replace("from documents)", "from documents where loader = 'txt')")
+
+
 @query(
-    "with n as (select doc_id as document_id, 0 as chunk_index, substring(content, 1, 900) as content from documents where loader = 'txt' and content is not null) "
-    "select document_id, chunk_index, content from document_chunks where document_id not in (select document_id from n) union all select * from n"
+    f"with n as (select doc_id as document_id, cast(chunk_index as bigint) as chunk_index, content from ({CHUNKED})) "
+    "select document_id, cast(chunk_index as bigint) as chunk_index, content from document_chunks where document_id is null or document_id not in (select document_id from n) union all select * from n"
 )
 def replace_chunks(spark, sf):
-    """Chunks after all of the plain text documents were replaced by one (H6)."""
-    old = table(spark, sf, "document_chunks").select("document_id", "chunk_index", "content")
-    new = table(spark, sf, "documents").where("loader = 'txt' and content is not null").select(
-        F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.substring("content", 1, 900).alias("content")
-    )
+    """Chunks after those of all plain text documents were cut again from their whole contents (H6)."""
+    old = table(spark, sf, "document_chunks").select("document_id", big("chunk_index").alias("chunk_index"), "content")
+    d = table(spark, sf, "documents").where("loader = 'txt'").select(F.col("doc_id").alias("document_id"), "content")
+    new = chunking.chunks(d, "document_id", "content").select("document_id", big("chunk_index").alias("chunk_index"), "content")
     return store.replace_where(old, new, "document_id")
 
 
@@ -356,16 +356,19 @@ def guarded_folder_delete(spark, sf):
     return folder_counts(spark, sf).select("name", (F.col("n_documents") == 0).alias("deletable"))
 
 
+MEMORIES = "select case when edited is null then 'revision_feedback_prompt' else 'manual_edit' end as source_type, question_id as source_id, draft as content from answers"
+
+
 @query(
-    "with m as (select case when edited is null then 'revision_feedback_prompt' else 'manual_edit' end as source_type, question_id as source_id, draft as content from answers) "
-    "select distinct source_type, source_id, content from m where regexp_matches(content, '[^\\s\\x{3000}\\x{00a0}]')"
+    f"with base as (select distinct * from ({MEMORIES} where id % 2 = 0)), m as ({MEMORIES}) select * from base union all "
+    "(select distinct source_type, source_id, content from m where regexp_matches(content, '[^\\s\\x{3000}\\x{00a0}]') and not exists (select 1 from base b where b.source_type is not distinct from m.source_type and b.source_id is not distinct from m.source_id and b.content is not distinct from m.content))"
 )
 def dedupe_insert_memory(spark, sf):
-    """Memories after those of all answers were inserted, each once."""
+    """Memories of every second answer after those of all answers were inserted, each once."""
     a = table(spark, sf, "answers")
     kind = F.when(F.col("edited").isNull(), "revision_feedback_prompt").otherwise("manual_edit")
-    m = a.select(kind.alias("source_type"), F.col("question_id").alias("source_id"), F.col("draft").alias("content"))
-    return store.dedupe_insert(m.limit(0), m, "source_type", "source_id", "content")
+    m = lambda rows: rows.select(kind.alias("source_type"), F.col("question_id").alias("source_id"), F.col("draft").alias("content"))
+    return store.dedupe_insert(m(a.where("id % 2 = 0")).distinct(), m(a), "source_type", "source_id", "content")
 
 
 @query("select doc_id, case when folder is null then '默认' when folder not in (select name from knowledge_folders) then '待整理' else folder end as folder from documents")
@@ -403,11 +406,137 @@ def document_fingerprints(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(parts, 256).alias("fingerprint"))
 
 
-@query(None)
+LEVEL = "sha256(string_agg({c}, '' order by {o} desc))"
+SIGNATURE_SQL = (
+    "with f as (select d.doc_id, d.created_at, coalesce(folder, '默认') as folder, sha256(concat_ws('|', cast(d.doc_id as varchar), coalesce(d.title, ''), coalesce(d.content, ''))) as fingerprint from documents d), "
+    f"a as (select folder, doc_id // 1000 as b, count(*) as n, {LEVEL.format(c='fingerprint', o='doc_id')} as s from f {{where}} group by 1, 2), "
+    f"b as (select folder, b // 1000 as c, sum(n) as n, {LEVEL.format(c='s', o='b')} as s from a group by 1, 2), "
+    f"g as (select folder, cast(sum(n) as bigint) as n_documents, {LEVEL.format(c='s', o='c')} as signature from b group by 1)"
+)
+
+
+def _signatures(f: DataFrame) -> DataFrame:
+    """(folder, n_documents, signature) of (folder, doc_id, fingerprint): a hash of hashes, newest first, over blocks of a
+    thousand neighbouring ids, so that no task gathers all fingerprints of a folder."""
+    level = f.select("folder", F.floor(F.col("doc_id") / 1000).alias("up"), F.col("doc_id").alias("o"), F.lit(1).alias("n"), F.col("fingerprint").alias("s"))
+    for last in (False, False, True):
+        ordered = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("o", "s")))), lambda x: x["s"])
+        keys = ["folder"] if last else ["folder", "up"]
+        hashed = level.groupBy(*keys).agg(F.sum("n").cast("bigint").alias("n"), F.sha2(F.array_join(ordered, ""), 256).alias("s"))
+        level = hashed if last else hashed.select("folder", F.floor(F.col("up") / 1000).alias("up"), F.col("up").alias("o"), "n", "s")
+    return level.select("folder", F.col("n").alias("n_documents"), F.col("s").alias("signature"))
+
+
+def _fingerprints(spark, sf) -> DataFrame:
+    parts = F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    return table(spark, sf, "documents").select("doc_id", "created_at", store.folder_of().alias("folder"), F.sha2(parts, 256).alias("fingerprint"))
+
+
+@query(SIGNATURE_SQL.format(where="") + " select folder, n_documents, signature from g")
 def index_signature(spark, sf):
-    """One signature a folder over its documents' fingerprints, a sum of hashes that needs no ordered gathering."""
-    f = document_fingerprints(spark, sf).join(table(spark, sf, "documents").select("doc_id", store.folder_of().alias("folder")), "doc_id")
-    return f.groupBy("folder").agg(F.count("*").alias("n_documents"), F.bit_xor(F.xxhash64("fingerprint")).alias("signature"))
+    """The source signature of every folder's index (U1, A15): documents in descending order of their ids."""
+    return _signatures(_fingerprints(spark, sf))
+
+
+EARLIER = "created_at <= (select max(created_at) - interval 7 day from documents)"
+
+
+@query(
+    f"with old as ({SIGNATURE_SQL.format(where='where ' + EARLIER)} select folder, n_documents, signature from g), now as ({SIGNATURE_SQL.format(where='')} select folder, n_documents, signature from g) "
+    "select now.folder, old.folder is not null as exists_, coalesce(old.signature = now.signature, false) as valid, coalesce(old.n_documents, 0) as node_count, now.n_documents as wanted from now left join old on old.folder = now.folder"
+)
+def index_status(spark, sf):
+    """Which folders' indexes, built a week before the newest document, are still valid."""
+    f = _fingerprints(spark, sf)
+    built = f.agg(F.expr("max(created_at) - interval 7 days").alias("until"))  # one row
+    old = _signatures(f.join(F.broadcast(built), F.col("created_at") <= F.col("until")).drop("until"))
+    old = old.select("folder", F.col("n_documents").alias("node_count"), F.col("signature").alias("was"))
+    joined = _signatures(f).join(old, "folder", "left")
+    return joined.select(
+        "folder", F.col("was").isNotNull().alias("exists_"), F.coalesce(F.col("was") == F.col("signature"), F.lit(False)).alias("valid"),
+        F.coalesce("node_count", F.lit(0)).alias("node_count"), F.col("n_documents").alias("wanted"),
+    )
+
+
+@query("select doc_id, title, folder, source, cast(length(content) as bigint) as size from documents where doc_id = 1001")
+def point_lookup(spark, sf):
+    """One document by its id (A2); the filter reaches the scan."""
+    return table(spark, sf, "documents").where("doc_id = 1001").select("doc_id", "title", "folder", "source", big(F.length("content")).alias("size"))
+
+
+HEALTH_LISTS = ("missing_index", "missing_embeddings", "missing_summaries", "missing_summary_embeddings", "missing_sentence_index", "missing_sentence_embeddings", "stale_model")
+NODES = "select document_id, count(*) n, count(embedding_json) e, {m} as has from {t} group by 1"
+
+
+@query(
+    f"with c as ({NODES.format(t='document_chunks', m="bool_or(embedding_model = 'lumen-embed-64')")}), s as ({NODES.format(t='sentence_nodes', m='null')}), m as ({NODES.format(t='document_summaries', m='null')}), "
+    "x as (select doc_id, c.n is null as missing_index, coalesce(c.e < c.n, false) as missing_embeddings, m.n is null as missing_summaries, coalesce(m.e < m.n, false) as missing_summary_embeddings, "
+    "s.n is null as missing_sentence_index, coalesce(s.e < s.n, false) as missing_sentence_embeddings, coalesce(not has, false) as stale_model from (select d.doc_id, 1 from documents d) d "
+    "left join (select document_id, n, e, has from c) c on c.document_id = doc_id left join (select document_id, n, e from s) s on s.document_id = doc_id left join (select document_id, n, e from m) m on m.document_id = doc_id) "
+    + " union all ".join(f"select doc_id, '{n}' as list from x where {n}" for n in HEALTH_LISTS)
+)
+def health_lists(spark, sf):
+    """The documents on each list of missing or stale parts."""
+
+    def nodes(t: str, name: str, *more) -> DataFrame:
+        g = table(spark, sf, t).groupBy(F.col("document_id").alias("doc_id"))
+        return g.agg(F.count("*").alias(f"{name}_n"), F.count("embedding_json").alias(f"{name}_e"), *more)
+
+    model = F.bool_or(F.col("embedding_model") == "lumen-embed-64").alias("has")
+    d = table(spark, sf, "documents").select("doc_id")
+    for part in (nodes("document_chunks", "c", model), nodes("sentence_nodes", "s"), nodes("document_summaries", "m")):
+        d = d.join(part, "doc_id", "left")
+    gone, behind = lambda x: F.col(f"{x}_n").isNull(), lambda x: F.coalesce(F.col(f"{x}_e") < F.col(f"{x}_n"), F.lit(False))
+    tests = [gone("c"), behind("c"), gone("m"), behind("m"), gone("s"), behind("s"), F.coalesce(~F.col("has"), F.lit(False))]
+    lists = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in zip(HEALTH_LISTS, tests)]))
+    return d.select("doc_id", F.explode(lists).alias("list"))
+
+
+@query(
+    "with have as (select distinct sha1(sentence) as h, embedding_model from sentence_nodes where embedding_json is not null and sentence is not null) "
+    "select c.id, sha1(c.content) as content_hash, c.embedding_model from document_chunks c where c.content is not null and not exists (select 1 from have where h = sha1(c.content) and have.embedding_model = c.embedding_model)"
+)
+def cache_misses(spark, sf):
+    """Chunks whose text and model no cached vector has (C12, A16): an anti join on the text's hash."""
+    have = table(spark, sf, "sentence_nodes").where("embedding_json is not null and sentence is not null").select(F.sha1("sentence").alias("content_hash"), "embedding_model")
+    c = table(spark, sf, "document_chunks").where("content is not null").select("id", F.sha1("content").alias("content_hash"), "embedding_model")
+    return c.join(have.distinct(), ["content_hash", "embedding_model"], "left_anti").select("id", "content_hash", "embedding_model")
+
+
+@query(
+    "select doc_id, unnest(list_distinct(case when n <= 12 then range(n) else list_transform(range(12), lambda i: cast(round_even(i * (n - 1) / 11.0, 0) as bigint)) end)) as position from (select document_id as doc_id, count(*) as n from document_chunks where document_id is not null group by 1)"
+)
+def sampled_sections(spark, sf):
+    """At most twelve evenly spaced sections of every document."""
+    n = table(spark, sf, "document_chunks").where("document_id is not null").groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
+    return n.select("doc_id", F.explode(text.even_positions(F.col("n"), 12).cast("array<bigint>")).alias("position"))
+
+
+@query("select id, cast(case when status = 'new' then 1.2 else 0.9 end as double) as weight, created_at from questions where guidance is not null order by weight desc, created_at desc, id desc limit 12")
+def memory_order(spark, sf):
+    """The first twelve notes by weight, then age (F2, Q5), a top-k report."""
+    q = table(spark, sf, "questions").where("guidance is not null")
+    w = F.when(F.col("status") == "new", F.lit(1.2)).otherwise(F.lit(0.9))
+    return q.select("id", w.alias("weight"), "created_at").orderBy(F.desc("weight"), F.desc("created_at"), F.desc("id")).limit(12)
+
+
+@query(" union all ".join(f"select '{t}' as table_name, cast(0 as bigint) as n" if t in EMBEDDED else f"select '{t}' as table_name, count(*) as n from {t}" for t in COUNTED))
+def truncated_nodes(spark, sf):
+    """Rows of every table after the node tables were emptied (H11, H1): frames of the same schema without rows."""
+    out = None
+    for t in COUNTED:
+        rows = table(spark, sf, t)
+        kept = spark.createDataFrame([], rows.schema) if t in EMBEDDED else rows
+        one = kept.agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select id, cast(to_json({'id': id, 'title': title}) as varchar) as encoded from questions where title is not null")
+def json_encoded(spark, sf):
+    """Questions as JSON objects, other scripts kept as they are (M1)."""
+    q = table(spark, sf, "questions").where("title is not null")
+    return q.select("id", F.to_json(F.struct("id", "title")).alias("encoded"))
 
 
 @query("select event_type, cast(date_trunc('hour', ts) as timestamp) as hour, count(*) as n, cast(round(avg(value), 4) as double) as mean_value, cast(max(user_id) as bigint) as last_user from events group by 1, 2")

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text
 from quernstone.operators import chunking
-from quernstone.plans.store_queries import big
-from quernstone.session import spread, table
+from quernstone.session import big, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -54,11 +53,27 @@ def sentence_split_plain(spark, sf):
     return each.select("doc_id", (F.col("p") + 1).cast("bigint").alias("pos"), "sentence")
 
 
-@query(None)
+def kept_sql(c: str, point: bool = True) -> str:
+    """Sentences with their end marks as a list: the ends are marked first, since RE2 has no look-behind."""
+    ends = "'([。！？!?；;])\\s*|(\\.)\\s+', '\\1\\2' || chr(1)" if point else "'([。！？!?；;])\\s*', '\\1' || chr(1)"
+    return f"list_filter(list_transform(string_split(regexp_replace({c}, {ends}, 'g'), chr(1)), lambda p: {strip_sql('p')}), lambda p: p <> '')"
+
+
+@query(
+    f"select doc_id, unnest(range(1, len(s) + 1)) as pos, unnest(s) as sentence from (select doc_id, {kept_sql(strip_sql(collapse_sql('content')))} as s from documents where content is not null)"
+)
 def sentence_split_kept(spark, sf):
-    """Sentences of every content with their end marks (I9); RE2 has no look-behind, so SQL can't express it."""
+    """Sentences of every content with their end marks."""
     d = spread(table(spark, sf, "documents").where("content is not null").select("doc_id", "content"))
-    return d.select("doc_id", F.posexplode(text.sentences_kept(F.col("content"))).alias("pos", "sentence"))
+    each = d.select("doc_id", F.posexplode(text.sentences_kept(F.col("content"))).alias("p", "sentence"))
+    return each.select("doc_id", (F.col("p") + 1).cast("bigint").alias("pos"), "sentence")
+
+
+@query(f"select doc_id, cast(length(text) as bigint) as chars, cast(len({kept_sql('text', False)}) as bigint) as n_sentences from documents where text is not null")
+def profile_lines(spark, sf):
+    """Characters and spoken sentences of every text."""
+    d = spread(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"))
+    return d.select("doc_id", big(F.length("text")).alias("chars"), big(F.size(text.sentences_spoken(F.col("text")))).alias("n_sentences"))
 
 
 WORDS = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]')"
@@ -173,11 +188,15 @@ def url_ids(spark, sf):
     return q.select("id", "source_url", F.regexp_extract("source_url", "/question/([0-9]+)", 1).alias("question_ref"), F.regexp_extract("source_url", "^https?://([^/]+)", 1).alias("host"))
 
 
+STRIPPED = "replace(replace(replace(replace(replace(replace(regexp_replace({c}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+
+
 @query(
-    f"select id, {strip_sql(collapse_sql(r"regexp_replace(title, '^\s*\([0-9]+\s*封私信\s*/\s*[0-9]+\s*条消息\)\s*|^\s*\([0-9]+\s*条(?:私信|消息)\)\s*', '')"))} as title from questions where title is not null"
+    f"select id, {collapse_sql('t')} as title from (select id, regexp_replace({strip_sql('t')}, '\\s*-\\s*知乎[^\\n]*$', '') as t from (select id, regexp_replace({strip_sql(STRIPPED.format(c='title'))}, "
+    "'^\\([^)]*(私信|消息)[^)]*\\)\\s*', '') as t from questions where title is not null))"
 )
 def clean_titles(spark, sf):
-    """Titles without message counts."""
+    """Titles without markup, message counts and the site's name."""
     return table(spark, sf, "questions").where("title is not null").select("id", text.clean_title(F.col("title")).alias("title"))
 
 
@@ -273,13 +292,13 @@ def marker_top12(spark, sf):
 
 
 @query(
-    f"select cast(count(*) as bigint) as n_sentences, round(avg(length(s)), 4) as mean_length, cast(median(length(s)) as double) as median_length from (select unnest(list_filter(list_transform(string_split_regex(draft, '[。！？!?]\\s*'), lambda p: {strip_sql('p')}), lambda p: p <> '')) as s from answers where draft is not null)"
+    f"select cast(count(*) as bigint) as n_sentences, round(avg(length(s)), 4) as mean_length, cast(median(length(s)) as double) as median_length from (select unnest({kept_sql('draft', False)}) as s from answers where draft is not null)"
 )
 def sentence_stats(spark, sf):
     """Number, mean and median length of the drafts' sentences."""
     a = spread(table(spark, sf, "answers").where("draft is not null").select("draft"))
     n = F.length(F.col("s"))
-    each = a.select(F.explode(text.sentences_plain(F.col("draft"))).alias("s"))
+    each = a.select(F.explode(text.sentences_spoken(F.col("draft"))).alias("s"))
     return each.agg(F.count("*").alias("n_sentences"), F.round(F.avg(n), 4).alias("mean_length"), F.median(n).cast("double").alias("median_length"))
 
 
@@ -302,3 +321,51 @@ def char_class_counts(spark, sf):
 def size_labels(spark, sf):
     """Sizes of contents for people to read."""
     return table(spark, sf, "documents").where("content is not null").select("doc_id", text.bytes_label(F.octet_length("content")).alias("label"))
+
+
+@query(
+    "select doc_id, pos, value from (select doc_id, unnest(range(1, len(l) + 1)) as pos, unnest(l) as line, unnest(list_transform(l, lambda x: "
+    + strip_sql("regexp_replace(x, '^[^：]*：', '')")
+    + ")) as value from (select doc_id, string_split(content, chr(10)) as l from documents where content is not null)) where contains(line, '：') and value <> ''"
+)
+def labelled_lines(spark, sf):
+    """Lines with a label and something after it."""
+    d = spread(table(spark, sf, "documents").where("content is not null").select("doc_id", "content"))
+    lines = d.select("doc_id", F.posexplode(F.split("content", "\n")).alias("p", "line")).where(F.col("line").contains("："))
+    return lines.select("doc_id", (F.col("p") + 1).cast("bigint").alias("pos"), text.after_label(F.col("line")).alias("value")).where("value != ''")
+
+
+@query("select id, regexp_extract(draft, '“([^”]*)”', 1) as quoted from answers where regexp_matches(draft, '“[^”]*”')")
+def quoted_parts(spark, sf):
+    """What stands between the first pair of quotation marks."""
+    a = table(spark, sf, "answers").where(F.col("draft").rlike("“[^”]*”"))
+    return a.select("id", F.regexp_extract("draft", "“([^”]*)”", 1).alias("quoted"))
+
+
+CODE = "try_cast(nullif(regexp_extract({c}, '(?:HTTP |^)([45][0-9][0-9])', 1), '') as integer)"
+
+
+@query(
+    f"select id, field_name, {CODE.format(c='t')} as code, case when {CODE.format(c='t')} = 403 then 'blocked' when {CODE.format(c='t')} is not null then 'http' when contains(lower(t), 'timeout') then 'timeout' when contains(lower(t), 'javascript') then 'script' else 'none' end as class "
+    "from (select id, 'title' as field_name, title as t from questions union all select id, 'description', description from questions) where t is not null"
+)
+def notice_classes(spark, sf):
+    """The number and class of an error that a field reports (I30, I31): the first rule that fits."""
+    q = table(spark, sf, "questions")
+    fields = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("t")) for c in ("title", "description")])
+    f = q.select("id", F.explode(fields).alias("f")).select("id", "f.*").where("t is not null")
+    code = F.nullif(F.regexp_extract("t", "(?:HTTP |^)([45][0-9][0-9])", 1), F.lit("")).try_cast("int")
+    low = F.lower("t")
+    kind = F.when(code == 403, "blocked").when(code.isNotNull(), "http").when(low.contains("timeout"), "timeout").when(low.contains("javascript"), "script")
+    return f.select("id", "field_name", code.alias("code"), kind.otherwise("none").alias("class"))
+
+
+LIST = f"list_filter(list_transform(string_split_regex(coalesce(tags, ''), '[,，、;；]'), lambda x: {strip_sql('x')}), lambda x: x <> '')"
+
+
+@query(f"select id, array_to_string({LIST}[1:5], '|') as first_five, cast(len({LIST}) as bigint) as n, coalesce({LIST}[2], '') as second from questions")
+def tag_lists(spark, sf):
+    """Lists normalised to trimmed values that aren't blank, their first five and a selected one."""
+    v = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), "[,，、;；]"), text.strip), lambda x: F.length(x) > 0)
+    q = spread(table(spark, sf, "questions").select("id", "tags")).select("id", v.alias("v"))
+    return q.select("id", F.array_join(F.slice("v", 1, 5), "|").alias("first_five"), big(F.size("v")).alias("n"), F.coalesce(F.get("v", F.lit(1)), F.lit("")).alias("second"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +52,10 @@ def spread(df: DataFrame, *keys: str, per_core: int = 1) -> DataFrame:
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
+def big(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("bigint")
+
+
 def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
     """``df`` projected to ``schema``: missing columns become their default or a typed null, others are cast."""
     have, defaults = set(df.columns), defaults or {}

@@ -146,15 +146,16 @@ SHARES = (1.0, 0.6, 0.3, 0.1)
 
 def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple]:
     """The slots of :func:`plan_with` for the share of patterns that needs the fewest containers."""
-    if not len(sizes):
-        return []
-    plans = [plan_with(sizes, counts, capacity, share) for share in SHARES]
-    return min(plans, key=lambda p: max(first + (last - rank + offset - 1) // each for _, rank, last, each, first, offset in p))
+    return min((plan_with(sizes, counts, capacity, share) for share in SHARES), key=n_containers) if len(sizes) else []
+
+
+def n_containers(slots: list[tuple]) -> int:
+    return max((first + (last - rank + offset - 1) // each + 1 for _, rank, last, each, first, offset, _ in slots), default=0)
 
 
 def plan_with(sizes: np.ndarray, counts: np.ndarray, capacity: int, share: float) -> list[tuple]:
-    """Slots (size, first_rank, last_rank, per_container, first_container, offset): documents of ``size`` with ranks from
-    first_rank up to last_rank go ``per_container`` each into the containers from ``first_container`` on.
+    """Slots (size, first_rank, last_rank, per_container, first_container, offset, by_pattern): documents of ``size`` with
+    ranks from first_rank up to last_rank go ``per_container`` each into the containers from ``first_container`` on.
 
     Its work and its result depend on the capacity and the number of different sizes, not on the documents."""
     mean = float((sizes * counts).sum() / max(1, counts.sum()))
@@ -263,27 +264,24 @@ def plan_with(sizes: np.ndarray, counts: np.ndarray, capacity: int, share: float
                     queue[0][1] += g
                     if queue[0][1] == end:
                         queue.pop(0)
-    return [s if len(s) == 6 else (*s, 0) for s in slots]
+    return [(*s, True) if len(s) == 6 else (*s, 0, False) for s in slots]
 
 
 def _plans(histogram: pd.DataFrame) -> pd.DataFrame:
     h = histogram.groupby("size", as_index=False)["n"].sum()
-    slots = plan(h["size"].to_numpy(np.int64), h["n"].to_numpy(np.int64), int(histogram["capacity"].iloc[0]))
-    out = pd.DataFrame(slots, columns=["size", "first_rank", "last_rank", "each", "container", "offset"])
-    out.insert(0, "pack_id", int(histogram["pack_id"].iloc[0]))
-    return out
+    pack_id, share = int(histogram["pack_id"].iloc[0]), float(histogram["share"].iloc[0])
+    slots = plan_with(h["size"].to_numpy(np.int64), h["n"].to_numpy(np.int64), int(histogram["capacity"].iloc[0]), share)
+    out = pd.DataFrame(slots, columns=["size", "first_rank", "last_rank", "each", "first", "offset", "by_pattern"])
+    return out.assign(pack_id=pack_id, share=share, containers=n_containers(slots))[[c.split()[0] for c in PLAN.split(", ")]]
 
 
-PLAN = "pack_id bigint, size bigint, first_rank bigint, last_rank bigint, each bigint, container bigint, offset bigint"
+PLAN = "pack_id bigint, share double, containers bigint, size bigint, first_rank bigint, last_rank bigint, each bigint, first bigint, offset bigint, by_pattern boolean"
+#: Ranks of one size that look up the plan together.
+STRIDE = 64
 
 
-def pack(documents: DataFrame, packs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """(pack_id, key, piece, start_token, n_tokens, container) of every document and container kind.
-
-    A document longer than the capacity is cut into pieces of exactly the capacity and one rest; no other is cut.  Null
-    and empty texts have no tokens and go to container 0.  Repeated rows are packed as often as they occur; an empty
-    table gives an empty result; further columns don't take part.  Container kinds with a null or non-positive capacity
-    or a null tokenizer are left out.  Containers are numbered from 0 for each kind."""
+def _items(documents: DataFrame, packs: DataFrame, key: str, text: str, folder: str | None) -> DataFrame:
+    """(pack_id, capacity, row, key, piece, start_token, size, salt) of every document and container kind."""
     kinds = packs.select("pack_id", "tokenizer", F.col("capacity").cast("bigint").alias("capacity")).where(
         "pack_id is not null and tokenizer is not null and capacity > 0"
     )
@@ -291,7 +289,7 @@ def pack(documents: DataFrame, packs: DataFrame, key: str = "doc_id", text: str
     sizes = cut(token_counts(documents, names, key, text, folder).withColumn("row", F.monotonically_increasing_id()))
     joined = sizes.join(F.broadcast(kinds), "tokenizer")
     n_full = F.expr("greatest(n_tokens - 1, 0L) div capacity")
-    items = joined.select(
+    return joined.select(
         "pack_id", "capacity", "row", F.col(f"`{key}`").alias("key"), "n_tokens",
         F.explode(F.sequence(F.lit(0).cast("bigint"), n_full)).alias("piece"),
     ).select(
@@ -299,37 +297,56 @@ def pack(documents: DataFrame, packs: DataFrame, key: str = "doc_id", text: str
         F.least(F.col("capacity"), F.col("n_tokens") - F.col("piece") * F.col("capacity")).alias("size"),
         F.pmod(F.xxhash64("row", "piece"), F.lit(SALTS)).cast("int").alias("salt"),
     )
+
+
+def _best_slots(subgroups: DataFrame) -> DataFrame:
+    """The slots of each container kind's best plan.
+
+    Every share of the patterns is planned in a task of its own, from the histogram alone; plans stay distributed."""
+    shares = F.explode(F.array(*[F.lit(x) for x in SHARES])).alias("share")
+    histogram = subgroups.groupBy("pack_id", "capacity", "size").agg(F.sum("n").alias("n")).select("*", shares)
+    tasks = len(SHARES) * 8
+    slots = cut(histogram.repartition(tasks, "pack_id", "share").groupBy("pack_id", "share").applyInPandas(_plans, PLAN))
+    best = slots.groupBy("pack_id").agg(F.min(F.struct("containers", (-F.col("share")).alias("minus"))).alias("b"))  # one row a kind
+    best = best.select("pack_id", (-F.col("b.minus")).alias("share"))
+    return slots.join(F.broadcast(best), ["pack_id", "share"])
+
+
+def pack(documents: DataFrame, packs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+    """(pack_id, key, piece, start_token, n_tokens, container) of every document and container kind.
+
+    A document longer than the capacity is cut into pieces of exactly the capacity and one rest; no other is cut.  Null
+    and empty texts have no tokens and go to container 0.  Repeated rows are packed as often as they occur; an empty
+    table gives an empty result; further columns don't take part.  Container kinds with a null or non-positive capacity
+    or a null tokenizer are left out.  Containers are numbered from 0 for each kind."""
+    items = _items(documents, packs, key, text, folder)
     some = items.where("size > 0")
     subgroups = some.groupBy("pack_id", "capacity", "size", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("pack_id", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = subgroups.select("pack_id", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    histogram = subgroups.groupBy("pack_id", "capacity", "size").agg(F.sum("n").alias("n"))
-    slots = histogram.groupBy("pack_id").applyInPandas(_plans, PLAN).toPandas()
-    plans = {
-        k: tuple(g.sort_values("first_rank")[c].to_numpy() for c in ("first_rank", "each", "container", "offset"))
-        for k, g in slots.groupby(["pack_id", "size"])
-    }
-    shared = documents.sparkSession.sparkContext.broadcast(plans)
     ranked = some.withColumn(
         "r", F.row_number().over(Window.partitionBy("pack_id", "size", "salt").orderBy("row", "piece")) - 1
     ).join(offsets, ["pack_id", "size", "salt"])
-    kind = documents.schema[key].dataType.simpleString()
-    columns = ["pack_id", "key", "piece", "start_token", "n_tokens", "container"]
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            container = np.zeros(len(b), dtype=np.int64)
-            rank = b["rank"].to_numpy()
-            for at, rows in b.groupby(["pack_id", "n_tokens"]).indices.items():
-                first, each, base, offset = shared.value[at]
-                k = np.searchsorted(first, rank[rows], side="right") - 1
-                container[rows] = base[k] + (rank[rows] - first[k] + offset[k]) // each[k]
-            yield b.assign(container=container)[columns]
-
-    placed = ranked.select(
-        "pack_id", "key", "piece", "start_token", F.col("size").alias("n_tokens"), (F.col("r") + F.col("before")).alias("rank")
-    ).mapInPandas(place, f"pack_id bigint, key {kind}, piece bigint, start_token bigint, n_tokens bigint, container bigint")
+    ranked = ranked.withColumn("rank", F.col("r") + F.col("before")).withColumn("stride", F.expr(f"rank div {STRIDE}"))
+    # a slot stands under every stride of ranks that it covers, so that the range join is an equi-join of bounded groups
+    strides = F.explode(F.sequence(F.expr(f"first_rank div {STRIDE}"), F.expr(f"(last_rank - 1) div {STRIDE}")))
+    slots = _best_slots(subgroups).select("pack_id", "size", "first_rank", "last_rank", "each", "first", "offset", strides.alias("stride"))
+    met = ranked.join(slots, ["pack_id", "size", "stride"]).where("rank >= first_rank and rank < last_rank")
+    placed = met.select(
+        "pack_id", "key", "piece", "start_token", F.col("size").alias("n_tokens"), F.expr("first + (rank - first_rank + offset) div each").alias("container")
+    )
     empty = items.where("size <= 0").select(
         "pack_id", "key", "piece", "start_token", F.col("size").alias("n_tokens"), F.lit(0).cast("bigint").alias("container")
     )
     return placed.unionByName(empty).withColumnRenamed("key", key)
+
+
+def plan_report(documents: DataFrame, packs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+    """(pack_id, share, containers, tokens, pattern_tokens) of each container kind: the share of the fitted patterns that
+    its best plan uses, its containers, and how many of the tokens patterns place."""
+    items = _items(documents, packs, key, text, folder).where("size > 0")
+    slots = _best_slots(items.groupBy("pack_id", "capacity", "size").agg(F.count("*").alias("n")))
+    tokens = F.col("size") * (F.col("last_rank") - F.col("first_rank"))
+    return slots.groupBy("pack_id", "share", "containers").agg(
+        F.sum(tokens).alias("tokens"), F.coalesce(F.sum(F.when(F.col("by_pattern"), tokens)), F.lit(0)).alias("pattern_tokens")
+    )

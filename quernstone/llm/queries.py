@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.bpe import encode_corpus
 from quernstone.llm.neighbours import class_links, found_pairs, nearest
-from quernstone.llm.packing import pack
+from quernstone.llm.packing import pack, plan_report
 from quernstone.llm.pairs import judge_pairs
 from quernstone.llm.pii import mentions, redacted
 from quernstone.llm.residue import residue
@@ -123,6 +123,11 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each container kind: the share of the fitted patterns in its plan and the tokens that patterns place."""
+    return plan_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_capacities"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every mention of personal information in documents.text."""
     return mentions(table(spark, sf_dir, "documents"))
@@ -150,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_pack": p9_pack,
     "p9_fill": p9_fill,
+    "p9_plan": p9_plan,
     "p10_found": p10_found,
     "p10_redacted": p10_redacted,
 }

@@ -265,7 +265,7 @@ def test_plan_places_everything_once(capacity):
     items = np.concatenate([rng.integers(1, capacity + 1, 4000), np.full(3000, capacity // 3), rng.integers(1, 20, 2000).clip(max=capacity)])
     sizes, counts = np.unique(items, return_counts=True)
     fill, placed = {}, dict.fromkeys(sizes.tolist(), 0)
-    for size, a, e, each, first, offset in packing.plan(sizes, counts, capacity):
+    for size, a, e, each, first, offset, _ in packing.plan(sizes, counts, capacity):
         placed[size] += e - a
         for c in first + (np.arange(e - a) + offset) // each:
             fill[c] = fill.get(c, 0) + size

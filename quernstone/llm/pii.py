@@ -87,7 +87,7 @@ PHONE = re.compile(
     r"(?<![A-Za-z0-9.+/-])(?:"
     r"(?:[(（]?\+86[)）]?[ -]?)?1[3-9]\d[ -]?\d{4}[ -]?\d{4}"
     r"|(?:[(（]0\d{2,3}[)）][ -]?|0\d{2,3}-)\d{7,8}"
-    r"|(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])555[ .-]\d{4}|(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4}"
+    r"|(?:\+1[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}|(?:\+1[ .-]?)?\d{3}[ .-][2-9]\d{2}[ .-]\d{4}"
     r"|\+44 ?(?:\(0\))?\d{2,4} ?\d{3,4} ?\d{3,4}|0\d{2} \d{4} \d{4}|07\d{3} ?\d{6}"
     r"|\+49 ?\d{2,4}[ /-]?\d{3,8}(?:[ -]\d{1,4})?|\(0\d{2,4}\) ?\d{3,8}(?:[ -]\d{1,5})?|0\d{2,4}[ /]\d{5,8}(?: ?-?\d{1,4})?|0\d{2,3} \d{5} \d{3}"
     r"|\+33 ?\d(?:[ .-]?\d{2}){4}|0\d(?:[ .-]\d{2}){4}"

@@ -185,9 +185,8 @@ class Detector:
                 w = min(WINDOW, len(x))
                 mean = np.convolve(x, np.ones(w) / w, mode="valid")
                 inside = np.zeros(len(t) + 1, dtype=np.int64)
-                for k in np.nonzero(mean > 0)[0]:
-                    inside[k] += 1
-                    inside[k + w] -= 1
+                inside[: len(mean)] += mean > 0
+                inside[w : w + len(mean)] -= mean > 0
                 covered |= np.cumsum(inside)[:-1] > 0
                 sums.append(x.sum())
             # as a whole the field must be likelier as residue too

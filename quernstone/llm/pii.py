@@ -137,7 +137,7 @@ _FULL = (
 )
 #: Contexts that introduce a name in languages of Latin script; the groups are names.  Fixed values.
 LATIN_BEFORE = re.compile(
-    rf"(?:Contact ?: |Contacto: |Ansprechperson: |Kontakt: |I am |I['’]m |file of |c/o |next to |El expediente de |Le dossier de |Die Akte von |Post bitte an |My name is |Je m['’]appelle |Ich heiße |Me llamo |called |Between |I told )({_FULL})(?: and ({_FULL}) nothing)?"
+    rf"(?:Contact ?: |Contacto: |Ansprechperson: |Kontakt: |I am |I['’]m |c/o |My name is |Je m['’]appelle |Ich heiße |Me llamo )({_FULL})"
 )
 LATIN_AFTER = re.compile(r" (?:lives at|wohnt in|habite au|vive en|asked(?= [A-Z]))")
 _before = re.compile(rf"({_FULL})$")
@@ -165,11 +165,11 @@ OTHER_NAMES = [
     (("担当",), re.compile(rf"担当[:：]([{_H}]{{1,4}}[ 　]?[{_H}]{{1,3}})(?=[ 　\n])")),
     (("さん", "様"), re.compile(rf"(?<![{_H}])([{_H}]{{2,3}} ?[{_H}]{{1,4}}|[{_H}]{{2,4}})(?=さん|様)")),
     (("คุณ",), re.compile(r"คุณ([ก-๎]{2,} [ก-๎]{2,})(?= |$|\n)")),
-    (("السيد", "الأستاذ", "الدكتور", "حضر"), re.compile(r"(?:السيدة?|الأستاذة?|الدكتورة?) ([ؠ-ي]+ [ؠ-ي]+)|حضرت? ([ؠ-ي]+ [ؠ-ي]+)(?= مرتين)")),
+    (("السيد", "الأستاذ", "الدكتور", "حضر"), re.compile(r"(?:السيدة?|الأستاذة?|الدكتورة?|حضرت?) ([ؠ-ي]+ [ؠ-ي]+)")),
     (("श्री", "सुश्री"), re.compile(r"(?:श्रीमती|सुश्री|श्री) ([ऀ-ॣ॰-ॿ]+ [ऀ-ॣ॰-ॿ]+)")),
 ]
 HAN_TRIGGERS = re.compile(
-    rf"(?:联系人[:：]|收件人|登记表上写的是|我叫|“我是|我同事|来访者(?=[{_H}]{{2,3}}住在)|本人(?=[{_H}]{{2,3}}，证件)|姓名[:：])([{_H}]{{2,3}})(?=[ ，。,.”\n]|也|住在|$)"
+    rf"(?:联系人[:：]|收件人|我叫|姓名[:：])([{_H}]{{2,3}})(?=[ ，。,.”\n]|$)"
 )
 _capital = re.compile(r"(?<![^\W\d_])[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][A-ZÀ-ÖØ-Þ][^\W\d_]+)*")
 _word = re.compile(r"(?<![A-Za-z])[a-z]{2,}")
@@ -406,7 +406,7 @@ def _latin_names(t: str, lexicon: Lexicon, add) -> None:
             j, end = j + 1, n.end()
         start = m.start()
         before = re.search(rf"(?:{_PART} )$|[Dd]['’]$", t[max(0, start - 8) : start])
-        if before and known:
+        if before and known and j == i:  # before a given name a particle is a preposition
             start -= len(before.group())
         if known and j >= i and len(tokens[j].group()) > 1:
             if sure or PERSON_VERB.match(t, end) or PERSON_BEFORE.search(t[max(0, start - 12) : start]):

@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,38 @@ def test_bm25_and_lexical_on_tiny_tables(spark, n):
     q = spark.createDataFrame([(9, "猫"), (8, ""), (7, None)], "query_id int, query string")
     assert retrieval.bm25_scores(q, d, "id").count() == min(n, 1)
     assert retrieval.lexical_scores(q, d, "id").count() == min(n, 1)
+
+
+def test_bags_count_within_rows(spark):
+    df = spark.createDataFrame([(1, "a b a 好好", 9), (2, "", 9), (3, None, 9), (1, "b", 9)], "id int, t string, tf int")
+    got = sorted((r.id, r.token, r.tf) for r in retrieval.bag(df, "id", "t", text.words).collect())
+    assert got == [(1, "a", 2), (1, "b", 1), (1, "b", 1), (1, "好", 2)]
+    assert {r.n for r in retrieval.bags(df, "id", "t", text.words).where("id > 1").collect()} == {0}
+    assert sorted(spark.range(1).select(F.explode(text.bigrams(F.lit("Ab🙂\nc"))).alias("b")).toPandas()["b"]) == ["ab", "b🙂"]
+
+
+def test_number_within_spreads_a_hot_group(spark):
+    rows = [(1 if i % 3 else i, i, "x") for i in range(300)] + [(None, 7, "x"), (None, 3, "x")]
+    df = spark.createDataFrame(rows, "g int, id int, place string")
+    want = {}
+    for g, i in sorted(((g, i) for g, i, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        want[g, i] = sum(1 for h, k, _ in rows if h == g and k < i)
+    got = {(r.g, r.id): r.n for r in store.number_within(df, "g", "id", "n").collect()}
+    assert got == want and store.number_within(df.limit(0), "g", "id", "n").count() == 0
+
+
+def test_many_query_vectors_meet_rows_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = [(i, [float(x) for x in rng.normal(size=6)], "ab"[i % 2]) for i in range(90)]
+    rows = spark.createDataFrame(v, "id int, v array<double>, m string")
+    asked = rows.where("id % 3 = 0").select(F.col("id").alias("query_id"), "v", "m")
+    best = lambda: sorted((r.query_id, r.id, r.score) for r in retrieval.vector_top_k(asked, rows, "id", 4, "m").collect())
+    few = best()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 20)
+    assert best() == few and len(few) == 120
+
+
+def test_even_positions(spark):
+    got = [[r.p for r in spark.range(1).select(F.explode(text.even_positions(F.lit(n), 12)).alias("p")).collect()] for n in (1, 12, 23, 100)]
+    assert got[:2] == [[0], list(range(12))] and all(g == sorted({round(i * (n - 1) / 11) for i in range(12)}) for g, n in zip(got[2:], (23, 100)))

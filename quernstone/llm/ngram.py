@@ -64,13 +64,16 @@ def count_texts(texts: list[str]) -> list[np.ndarray]:
     return [np.bincount(x[real], minlength=1 << b) for x, b in zip(h, BUCKETS)]
 
 
-def train(labelled: DataFrame, extra: dict[str, list[str]] | None = None) -> dict[str, Model]:
-    """A model for each label of (label, text), over all rows; ``extra`` are further texts for a label.
+Tables = list[np.ndarray]
+
+
+def count_labels(labelled: DataFrame) -> dict[str, Tables]:
+    """The counts of every label of (label, text), over all rows.
 
     Each task counts its own rows; only buckets are shuffled and gathered, at most the bound of BUCKETS for a label."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, list[np.ndarray]] = {}
+        sums: dict[str, Tables] = {}
         for b in batches:
             for label, g in b.groupby("label"):
                 new = count_texts(g["text"].tolist())
@@ -83,11 +86,22 @@ def train(labelled: DataFrame, extra: dict[str, list[str]] | None = None) -> dic
 
     partial = labelled.where("label is not null and text is not null").select("label", "text")
     sums = partial.mapInPandas(count, "label string, gram int, bucket int, n bigint").groupBy("label", "gram", "bucket").agg(F.sum("n").alias("n"))
-    tables: dict[str, list[np.ndarray]] = {}
+    tables: dict[str, Tables] = {}
     for (label, order), g in sums.toPandas().groupby(["label", "gram"]):
         t = tables.setdefault(label, [np.zeros(1 << b, dtype=np.int64) for b in BUCKETS])
         t[order][g["bucket"].to_numpy()] = g["n"].to_numpy()
+    return tables
+
+
+def fit(tables: dict[str, Tables], extra: dict[str, list[str]] | None = None) -> dict[str, Model]:
+    """A model for each label; ``extra`` are further texts for a label."""
+    tables = dict(tables)
     for label, texts in (extra or {}).items():
-        t = tables.setdefault(label, [np.zeros(1 << b, dtype=np.int64) for b in BUCKETS])
+        t = tables.get(label) or [np.zeros(1 << b, dtype=np.int64) for b in BUCKETS]
         tables[label] = [x + y for x, y in zip(t, count_texts(texts))]
     return {label: Model(t) for label, t in tables.items()}
+
+
+def train(labelled: DataFrame, extra: dict[str, list[str]] | None = None) -> dict[str, Model]:
+    """A model for each label of (label, text), over all rows; ``extra`` are further texts for a label."""
+    return fit(count_labels(labelled), extra)

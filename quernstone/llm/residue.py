@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.ngram import Model, codes, hashes, train
+from quernstone.llm.ngram import Model, codes, count_labels, fit, hashes
 from quernstone.session import cut
 
 #: Share of a field's letters and digits that residue windows must cover.
@@ -223,10 +223,16 @@ def residue(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     seeded = _bootstrap(rows, corpus)
     number = lambda c: F.regexp_replace(F.lower(c), r"\p{N}+", "0")
     extra = {"filler": [_plain(s) for s in FILLER] * 3, "notice": [_plain(s) for s in NOTICES] * 3}
-    prose = corpus.select(F.lit("prose").alias("label"), number(F.col("text")).alias("text"))
-    first = train(seeded.select("label", number(F.col("text")).alias("text")).union(prose), extra)
-    better = _scored(rows, first, "label")
-    second = train(better.select("label", number(F.col("text")).alias("text")).union(prose), extra)
+    prose = count_labels(corpus.select(F.lit("prose").alias("label"), number(F.col("text")).alias("text")))  # once for both fits
+
+    def fitted(labelled: DataFrame) -> dict[str, Model]:
+        own = count_labels(labelled.select("label", number(F.col("text")).alias("text")))
+        for label, tables in prose.items():
+            own[label] = [x + y for x, y in zip(own[label], tables)] if label in own else tables
+        return fit(own, extra)
+
+    first = fitted(seeded)
+    second = fitted(_scored(rows, first, "label"))
     final = _scored(rows, second, "kind").join(template, ["question_id", "field_name"], "left")
     kind = F.when(F.col("template"), F.lit("placeholder")).otherwise(F.col("kind"))
     return final.select("question_id", "field_name", kind.alias("kind"), F.round("coverage", 4).alias("coverage")).where("kind != 'prose'")

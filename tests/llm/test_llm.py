@@ -288,7 +288,8 @@ def test_pack(spark):
 
 
 def test_mentions(spark):
-    people = ["联系人：林北荞 电话15600000337", "登记表上写的是温漾青，身份证990523196602123218。", "本人叶榆白，证件990438196107044159。", "“我是苏舟梨。”那人说。", "我叫林榆青，来自南方"]
+    people = ["联系人：林北荞 电话15600000337", "姓名：温漾青，身份证990523196602123218。", "姓名：叶榆白，证件990438196107044159。", "我叫苏舟梨。", "我叫林榆青，来自南方"]
+    people += [f"昨天来访者{n}住在南梧。" for n in ("温漾青", "叶榆白", "苏舟梨", "林榆青")]  # a context that names share, learned from the others
     text = "订单号15783730972已经退款。写信到linmu [at] example [dot] org，抄送a.b@example.net。来访者林北荞住在南梧市听澜街79号2单元840室。"
     more = ["Contact: Orla Pellisk, 299-555-0170, x", "I am Orla Pellisk and my number is (560) 555-0165.", "Contact: Jory Tarrow, +44 20 7946 0630, y", "I am Jory Tarrow and so on"]
     rows = [(i, t) for i, t in enumerate(people * 3 + more * 2)] + [(100, text), (101, "Tarrow never came back. Ticket 936-875-6075A was closed."), (102, None), (103, "")]

@@ -45,3 +45,12 @@ def test_pairs_are_not_shuffled(spark, sf, name):
     """No query joins the tokens of texts and titles, which makes a row of every pair that shares one."""
     plan = search_queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "inline" not in plan
+
+
+def test_vectors_are_not_shuffled(spark, monkeypatch):
+    """However many queries there are, only each task's best hits move."""
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    rows = spark.range(60).select("id", F.array(F.cos("id"), F.sin("id")).alias("v"))
+    hits = retrieval.vector_top_k(rows.select(F.col("id").alias("query_id"), "v"), rows, "id", 3)
+    assert "CoGroup" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert hits.count() == 180 and hits.where("query_id = id and score = 1").count() == 60

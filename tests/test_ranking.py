@@ -54,3 +54,11 @@ def test_vectors_are_not_shuffled(spark, monkeypatch):
     hits = retrieval.vector_top_k(rows.select(F.col("id").alias("query_id"), "v"), rows, "id", 3)
     assert "CoGroup" not in hits._jdf.queryExecution().optimizedPlan().toString()
     assert hits.count() == 180 and hits.where("query_id = id and score = 1").count() == 60
+
+
+def test_hierarchy_keeps_no_texts(spark, sf, monkeypatch):
+    """What is written to the checkpoint folder is the tree without its texts."""
+    kept = []
+    monkeypatch.setattr(search_queries, "cut", lambda df: kept.append(df.columns) or df)
+    assert search_queries.hierarchy_merge(spark, sf).count() > 0
+    assert kept == [["document_id", "node_key", "parent_key"]]

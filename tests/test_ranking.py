@@ -40,7 +40,7 @@ def test_bm25(both, monkeypatch):
     assert ranking.bm25(q, d.limit(0), "id", 4).count() == 0
 
 
-@pytest.mark.parametrize("name", ["lexical_topk", "exact_bonus", "rerank_fill", "widening", "route_attach", "chunk_window", "bucket_merge", "multi_mode_dedupe", "lexical_only", "trace_projection"])
+@pytest.mark.parametrize("name", ["lexical_topk", "exact_bonus", "rerank_fill", "widening", "route_attach", "chunk_window", "bucket_merge", "multi_mode_dedupe", "lexical_only", "trace_projection", "max_normalise"])
 def test_pairs_are_not_shuffled(spark, sf, name):
     """No query joins the tokens of texts and titles, which makes a row of every pair that shares one."""
     plan = search_queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()

@@ -147,6 +147,29 @@ def test_long_refusals():
     assert judge.refuses([long + " " + prose[0], prose[0] + " " + long, " ".join(prose * 5)]) == [False] * 3
 
 
+@pytest.mark.parametrize("block", [pairs.BLOCK, 8])
+def test_openings_are_linked_wholly(spark, monkeypatch, block):
+    """The clusters are the components of all links of Jaccard 0.5, however many openings hold a shingle."""
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    rnd = random.Random(7)
+    words = ["walk", "letter", "breathe", "sister", "morning", "quiet", "answer", "sorry", "help", "cannot", "question", "friend"]
+    texts = sorted({" ".join(rnd.sample(words, rnd.randint(2, 6))) + "." for _ in range(250)} | {"x" * 40, "ab c", "ab d"})
+    grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.5 and label[a] != label[b]:
+                label = [label[b] if x == label[a] else x for x in label]
+    opened = spark.createDataFrame([(q, t) for q, t in enumerate(texts)] + [(0, texts[0]), (999, texts[0])], "question_id bigint, opening string")
+    got = {r.opening: r for r in pairs.cluster_openings(opened).collect()}
+    want, have = {}, {}
+    for t, k in zip(texts, label):
+        want.setdefault(k, set()).add(t)
+        have.setdefault(got[t].cluster, set()).add(t)
+    assert len(got) == len(texts) and sorted(map(sorted, have.values())) == sorted(map(sorted, want.values()))
+    assert 5 < len(want) < len(texts) - 50 and all(got[t].n_prompts == len(c) + (texts[0] in c) for c in want.values() for t in c)
+
+
 # --- 5
 
 

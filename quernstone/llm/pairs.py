@@ -12,7 +12,7 @@ written in Latin script, the end by how often the last characters end a text whe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,6 +51,7 @@ TERMINAL = "。！？!?….．｡؟۔।॥"
 CLOSING = "\"'”’“」』）)]】》»"
 PAIRS = {"“": "”", "「": "」", "『": "』", "«": "»", "„": "“", "（": "）", "《": "》", "【": "】"}
 _invisible = regex.compile(r"[\p{Z}\p{C}\s]+")
+_decorated = regex.compile(r"[\p{So}\p{Sk}\p{Mn}‍️\s]")
 _decoration = regex.compile(r"[\p{So}\p{Sk}\p{Mn}‍️\s]+$")
 _link = regex.compile(r"(?:https?://|www\.)\S+$")
 _sentence = regex.compile(
@@ -70,7 +71,11 @@ BLOCK = 1024
 
 
 #: Patterns of the helpers below.
+_many_letters = regex.compile(r"(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]){16}")  # more than a stand-in for no value has
 _not_letter = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+_opener = regex.compile("[" + regex.escape("".join(PAIRS)) + "]")
+_kept = regex.compile(r"[\p{L}\p{N}\p{M}]")
+_label_firsts = {label[0] for label in LABELS.pattern.strip("()*").split("|")}
 _not_word = regex.compile(r"[\p{Z}\p{C}\p{P}\p{S}\s]+")
 _letter_or_digit = regex.compile(r"[\p{L}\p{N}]")
 _symbol = regex.compile(r"\p{So}")
@@ -85,19 +90,33 @@ def letters(text: str) -> str:
 
 def is_empty(text: str) -> bool:
     """Nothing but blanks, invisible characters, punctuation or a stand-in for no value."""
+    if _many_letters.match(text):
+        return False
     t = _not_word.sub(" ", text if _letter_or_digit.search(text) else _symbol.sub("x", text)).strip()
     return not t or t.casefold() in NOTHING or t.casefold().replace(" ", "") in NOTHING
 
 
 def is_copy(title: str, text: str) -> bool:
     """Only the title, once or more often, perhaps with a label or changed spacing, case or end mark."""
-    body = letters(text)
-    for t in {letters(title), letters(_bracketed.sub("", title))}:
-        if t and t in body and LABELS.fullmatch(body.replace(t, "")):
+    titles, firsts = _title_letters(title)
+    folded = text.casefold()
+    m = _kept.search(folded)
+    if m is None or m.group() not in firsts:
+        return False
+    body = _not_letter.sub("", folded)
+    for t in titles:
+        if t in body and LABELS.fullmatch(body.replace(t, "")):
             return True
     return False
 
 
+@lru_cache(50_000)
+def _title_letters(title: str) -> tuple[list[str], set[str]]:
+    """The letters of a title, with and without a bracketed remark, and what a copy of it can begin with."""
+    titles = [t for t in dict.fromkeys((letters(title), letters(_bracketed.sub("", title)))) if t]
+    return titles, {t[0] for t in titles} | _label_firsts if titles else set()
+
+
 def each_sentence(text: str) -> Iterator[str]:
     return (s for s in (m.group().strip() for m in _sentence.finditer(text)) if letters(s))
 
@@ -122,9 +141,13 @@ def script(text: str) -> str | None:
     return best if n[best] else None
 
 
+def undecorated(text: str) -> str:
+    return _decoration.sub("", text) if _decorated.match(text[-1:]) else text
+
+
 def tail(text: str) -> str:
     """What follows the last end of a sentence; '' where the text ends with one.  Emoji and a link at the end don't count."""
-    t = _decoration.sub("", text)
+    t = undecorated(text)
     if (m := _link.search(t)) is not None:
         return ""
     body = t.rstrip(CLOSING)
@@ -142,6 +165,8 @@ def tail(text: str) -> str:
 def unclosed(text: str) -> bool:
     """Whether the last paragraph ends inside a quotation or bracket."""
     t = text[text.rstrip().rfind("\n") + 1 :]
+    if not _opener.search(t):
+        return False
     stack: list[str] = []
     for i, c in enumerate(t):
         if stack and c == stack[-1]:
@@ -208,16 +233,17 @@ class Judge:
         """How much likelier each answer is as refusals than as prose; very low where a sentence of it refuses nothing."""
         if set(self.refusal) != {"refusal", "prose"}:
             return [-99.0] * len(texts)
-        # every sentence must refuse, so that the rest is read only where the first two do
+        # every sentence must refuse, so that the rest is read only where the first does
         rest = [each_sentence(t) for t in texts]
-        parts = [list(islice(x, 2)) for x in rest]
-        first = self._sentence_ratios(parts)
-        kept = [i for i, r in enumerate(first) if len(r) and (r > -3).all()]
+        first = [next(x, None) for x in rest]
+        openings = list({x: None for x in first if x is not None})
+        ratios = {x: float(r[0]) for x, r in zip(openings, self._sentence_ratios([[x] for x in openings]))}
+        kept = [i for i, x in enumerate(first) if x is not None and ratios[x] > -3]
         more = [list(rest[i]) for i in kept]
         out = [-99.0] * len(texts)
         for i, p, r in zip(kept, more, self._sentence_ratios(more)):
-            if (r > -3).all() and sum(len(letters(x)) for x in parts[i] + p) >= 6:
-                out[i] = float(first[i].sum() + r.sum())
+            if (r > -3).all() and sum(len(letters(x)) for x in [first[i], *p]) >= 6:
+                out[i] = ratios[first[i]] + float(r.sum())
         return out
 
     def _sentence_ratios(self, parts: list[list[str]]) -> list[np.ndarray]:
@@ -238,7 +264,7 @@ class Judge:
         """Whether the text ends inside its last sentence."""
         t = tail(text)
         if not t:
-            return unclosed(_decoration.sub("", text))
+            return unclosed(undecorated(text))
         end = t[-4:] if len(t) >= 4 else ("\n" + t)[-4:]
         at = end_hash(end)
         everywhere, at_end, at_blank = (float(x[at]) for x in self.ends)
@@ -275,21 +301,19 @@ def _end_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((3, 1 << ENDS_BITS), dtype=np.int64)
         for b in batches:
-            found: list[np.ndarray] = []
-            before_blank: list[np.ndarray] = []
+            # all texts in one array, each with a blank after it; no four characters over two texts count
+            bodies = [undecorated(t) + " " for t in b["text"]]
             for t in b["text"]:
-                body = _decoration.sub("", t)
                 last = tail(t)
                 if last:
                     sums[1, end_hash(last[-4:] if len(last) >= 4 else ("\n" + last)[-4:])] += 1
-                c = np.frombuffer((body + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                if len(c) > 4:
-                    h = end_hashes(c[:-1])
-                    found.append(h)
-                    before_blank.append(h[np.isin(c[4:], _BLANKS)])
-            for what, parts in ((0, found), (2, before_blank)):
-                if parts:
-                    sums[what] += np.bincount(np.concatenate(parts), minlength=1 << ENDS_BITS)
+            c = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            if len(c) > 4:
+                owner = np.repeat(np.arange(len(bodies)), [len(t) for t in bodies])
+                within = owner[:-4] == owner[4:]
+                h = end_hashes(c[:-1])[within]
+                sums[0] += np.bincount(h, minlength=1 << ENDS_BITS)
+                sums[2] += np.bincount(h[np.isin(c[4:][within], _BLANKS)], minlength=1 << ENDS_BITS)
         for what in range(3):
             at = np.nonzero(sums[what])[0]
             yield pd.DataFrame({"what": what, "bucket": at.astype(np.int32), "n": sums[what][at]})
@@ -320,20 +344,21 @@ def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     within = owner[:-2] == owner[2:]
     gram = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[within]
-    owner = owner[:-2][within]
-    order = np.lexsort((gram, owner))
-    owner, gram = owner[order], gram[order]
-    new = np.ones(len(gram), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1])
-    return owner[new], gram[new]
+    values, number = np.unique(gram, return_inverse=True)
+    both = np.sort(owner[:-2][within] * len(values) + number)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    owner, number = np.divmod(both, len(values))
+    return owner, values[number]
 
 
 def _gram_bucket(gram: np.ndarray) -> np.ndarray:
     return ((gram.astype(np.uint64) * np.uint64(_MIX[0])) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
 
 
-def _alike(n: int, row: np.ndarray, gram: np.ndarray, least: float) -> np.ndarray:
-    """Of n texts with the shingles (row, gram): the first text that each is linked with, by Jaccard similarities of ``least``."""
+def _alike(roots: np.ndarray, row: np.ndarray, gram: np.ndarray, least: float) -> np.ndarray:
+    """Of texts with the shingles (row, gram): the first text that each is linked with, by a root in common or a Jaccard
+    similarity of ``least``."""
+    n = len(roots)
     size = np.bincount(row, minlength=n).astype(np.float64)
     seen, at, often = np.unique(gram, return_inverse=True, return_counts=True)
     column = np.cumsum(often > 1) - 1
@@ -345,7 +370,7 @@ def _alike(n: int, row: np.ndarray, gram: np.ndarray, least: float) -> np.ndarra
         x = np.zeros((n, 4096 if begin + 4096 <= column[-1] else int(column[-1]) + 1 - begin), dtype=np.float32)
         x[row[here], at[here] - begin] = 1
         both += x @ x.T
-    near = both / (size[:, None] + size[None, :] - both) >= least
+    near = (both / (size[:, None] + size[None, :] - both) >= least) | (roots[:, None] == roots[None, :])
     label = np.arange(n)
     while True:
         low = np.minimum(label, np.where(near, label[None, :], n).min(1))
@@ -400,50 +425,50 @@ def cluster_openings(opened: DataFrame, least: float = 0.5) -> DataFrame:
     place = ["gram", "low", "high"]
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        up: dict[int, int] = {}
+        known: dict[int, int] = {}
+        up = np.zeros(0, dtype=np.int64)
 
-        def root(i: int) -> int:
-            while (to := up.get(i, i)) != i:
-                up[i] = up.get(to, to)
-                i = up[i]
-            return i
+        def roots(members: np.ndarray) -> np.ndarray:
+            top = up[members]
+            while (up[top] != top).any():
+                top = up[top]
+            up[members] = top
+            return top
 
         def link(rows: pd.DataFrame) -> None:
-            if not len(rows):
-                return
-            same = (rows[place].to_numpy()[1:] == rows[place].to_numpy()[:-1]).all(1)
-            starts = [0, *(np.nonzero(~same)[0] + 1).tolist(), len(rows)]
-            ids = rows["id"].tolist()
-            apart = [(a, e) for a, e in zip(starts, starts[1:]) if e - a > 1 and len({root(i) for i in ids[a:e]}) > 1]
-            if not apart:
-                return
-            asked = np.concatenate([np.arange(a, e) for a, e in apart])
-            number = np.zeros(len(rows), dtype=np.int64)
-            number[asked], texts = pd.factorize(rows["opening"].to_numpy()[asked])
-            owner, gram = _shingles(list(texts))
+            nonlocal up
+            number, ids = pd.factorize(rows["id"].to_numpy())
+            numbers = np.array([known.setdefault(i, len(known)) for i in ids.tolist()], dtype=np.int64)
+            up = np.concatenate([up, np.arange(len(up), len(known))])
+            texts = rows["opening"].to_numpy()[np.unique(number, return_index=True)[1]].tolist()
+            owner, gram = _shingles(texts)
             begin = np.searchsorted(owner, np.arange(len(texts) + 1))
-            for a, e in apart:
-                if len({root(i) for i in ids[a:e]}) == 1:
-                    continue
+            keys = rows[place].to_numpy()
+            starts = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1).tolist(), len(rows)]
+            for a, e in zip(starts, starts[1:]):
                 members = number[a:e]
+                if e - a < 2 or ((top := roots(numbers[members])) == top[0]).all():
+                    continue
                 row = np.repeat(np.arange(e - a), begin[members + 1] - begin[members])
-                label = _alike(e - a, row, np.concatenate([gram[begin[k] : begin[k + 1]] for k in members]), least)
-                for i in np.nonzero(label != np.arange(e - a))[0].tolist():
-                    p, q = root(ids[a + i]), root(ids[a + int(label[i])])
-                    if p != q:
-                        up[max(p, q)] = min(p, q)
+                label = _alike(top, row, np.concatenate([gram[begin[k] : begin[k + 1]] for k in members.tolist()]), least)
+                low = np.full(e - a, len(up))
+                np.minimum.at(low, label, top)
+                up[top] = low[label]
 
-        held = None
+        held: list[pd.DataFrame] = []
         for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            if len(b):
-                end = int(np.argmax((b[place] == b[place].iloc[-1]).all(axis=1).to_numpy()))
-                link(b.iloc[:end])
-                held = b.iloc[end:]
-        if held is not None:
-            link(held)
-        ids = list(up)
-        yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "first": np.array([root(i) for i in ids], dtype=np.int64)})
+            held.append(b)
+            # openings come in many shingles: theirs are made once in so many rows
+            if sum(map(len, held)) >= 50_000:
+                rows = pd.concat(held, ignore_index=True)
+                end = int(np.argmax((rows[place] == rows[place].iloc[-1]).all(axis=1).to_numpy()))
+                held = [rows.iloc[end:]]
+                if end:
+                    link(rows.iloc[:end])
+        if sum(map(len, held)):
+            link(pd.concat(held, ignore_index=True))
+        ids = np.array(list(known), dtype=np.int64)
+        yield pd.DataFrame({"id": ids, "first": ids[roots(np.arange(len(ids)))] if len(ids) else ids})
 
     meeting = counted.select("id", "opening").mapInPandas(meetings, "gram bigint, low bigint, high bigint, id bigint, opening string")
     links = meeting.repartition(*place).sortWithinPartitions(*place).mapInPandas(met, "id bigint, first bigint").where("id != first")

@@ -170,6 +170,25 @@ def test_openings_are_linked_wholly(spark, monkeypatch, block):
     assert 5 < len(want) < len(texts) - 50 and all(got[t].n_prompts == len(c) + (texts[0] in c) for c in want.values() for t in c)
 
 
+def test_each_opening_is_scored_once(monkeypatch):
+    models = {"refusal": ngram.Model(ngram.count_texts(["i cannot help."] * 9)), "prose": ngram.Model(ngram.count_texts(["walk home slowly."] * 9))}
+    judge, scored = pairs.Judge({}, models, ()), []
+    ratios = pairs.Judge._sentence_ratios
+    monkeypatch.setattr(pairs.Judge, "_sentence_ratios", lambda self, parts: scored.extend(x for p in parts for x in p) or ratios(self, parts))
+    assert judge.refuses(["Walk home slowly. Walk slowly.", "Walk home slowly. I cannot help.", "I cannot help. I cannot help.", ""]) == [False, False, True, False]
+    assert sorted(scored) == ["I cannot help.", "I cannot help.", "Walk home slowly."]
+
+
+def test_quick_ways_of_checks(spark):
+    """Long blanks, decorations and titles in parts take no other result than a reading of the whole text."""
+    assert pairs.is_empty("." * 50 + "u n d e f i n e d" + " " * 50) and not pairs.is_empty("." * 50 + "undefined and so forth")
+    assert pairs.is_copy("How are you?", "...  A: HOW are you") and not pairs.is_copy("How are you?", "Well, how are you?") and not pairs.is_copy("?", "?")
+    assert pairs.undecorated("good 🙂 \n") == "good" and pairs.undecorated("a 🙂 b") == "a 🙂 b" and pairs.undecorated("") == ""
+    texts = ["abcd efgh", "xyzw", "no", "", "abcd"]
+    everywhere, _, blank = pairs._end_counts(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+    assert everywhere.sum() == 6 + 1 + 0 + 0 + 1 and everywhere[pairs.end_hash("abcd")] == 2 == blank[pairs.end_hash("abcd")] and blank.sum() == 4
+
+
 # --- 5
 
 

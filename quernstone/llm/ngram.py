@@ -14,6 +14,19 @@ BUCKETS = (13, 16, 18)
 START, END = 2, 3
 
 
+def portions(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in lists of about ``most`` characters, so that arrays over them stay small."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in one array, each with two starts before and one end after, and where each begins."""
     parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]

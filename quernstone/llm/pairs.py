@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.ngram import Model, codes, count_labels, fit, hashes, train
+from quernstone.llm.ngram import Model, codes, count_labels, fit, hashes, portions, train
 from quernstone.session import cut, spread
 
 #: Stand-ins for no value, fixed values.
@@ -110,7 +110,7 @@ def is_copy(title: str, text: str) -> bool:
     return False
 
 
-@lru_cache(50_000)
+@lru_cache(4096)
 def _title_letters(title: str) -> tuple[list[str], set[str]]:
     """The letters of a title, with and without a bracketed remark, and what a copy of it can begin with."""
     titles = [t for t in dict.fromkeys((letters(title), letters(_bracketed.sub("", title)))) if t]
@@ -301,19 +301,20 @@ def _end_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((3, 1 << ENDS_BITS), dtype=np.int64)
         for b in batches:
-            # all texts in one array, each with a blank after it; no four characters over two texts count
-            bodies = [undecorated(t) + " " for t in b["text"]]
             for t in b["text"]:
                 last = tail(t)
                 if last:
                     sums[1, end_hash(last[-4:] if len(last) >= 4 else ("\n" + last)[-4:])] += 1
-            c = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            if len(c) > 4:
-                owner = np.repeat(np.arange(len(bodies)), [len(t) for t in bodies])
-                within = owner[:-4] == owner[4:]
-                h = end_hashes(c[:-1])[within]
-                sums[0] += np.bincount(h, minlength=1 << ENDS_BITS)
-                sums[2] += np.bincount(h[np.isin(c[4:][within], _BLANKS)], minlength=1 << ENDS_BITS)
+            for texts in portions(b["text"].tolist()):
+                # many texts in one array, each with a blank after it; no four characters over two texts count
+                bodies = [undecorated(t) + " " for t in texts]
+                c = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                if len(c) > 4:
+                    owner = np.repeat(np.arange(len(bodies)), [len(t) for t in bodies])
+                    within = owner[:-4] == owner[4:]
+                    h = end_hashes(c[:-1])[within]
+                    sums[0] += np.bincount(h, minlength=1 << ENDS_BITS)
+                    sums[2] += np.bincount(h[np.isin(c[4:][within], _BLANKS)], minlength=1 << ENDS_BITS)
         for what in range(3):
             at = np.nonzero(sums[what])[0]
             yield pd.DataFrame({"what": what, "bucket": at.astype(np.int32), "n": sums[what][at]})

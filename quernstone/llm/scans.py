@@ -20,7 +20,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 import unicodedata
@@ -28,8 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.llm.ngram import portions
 from quernstone.session import cut, spread
 
+LF = 10
 HYPHENS = "-‐‑­¬"
 #: Misreadings of letters and what they stand for, fixed values.
 CONFUSIONS = [
@@ -51,11 +55,13 @@ END = "。！？!?….;；:：，,、؟।”」』»"
 
 
 _apart = re.compile(r"\s\s")
+_ends_with_hyphen = re.compile(rf"[{HYPHENS}]\s*(?:\n|\Z)")
 _beyond_latin = re.compile("[ɐ-􏿿]")
 _first_letter = re.compile(r"[^\W_]|[@†|]")
 
 
 #: Patterns of the helpers below.
+_number_first = regex.compile(r"[\d\-–—·~\[［(（lIOopPsSſ第หصपivxlc]")  # what a page number begins with
 _not_letter = regex.compile(r"[^\p{L}\p{M}]")
 _unmarked_script = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}]{8}")
 _broken_word = regex.compile(rf"([\p{{L}}\p{{M}}\p{{N}}@†'’]+(?:-[\p{{L}}\p{{M}}\p{{N}}@†]+)*)([{HYPHENS}])$")
@@ -65,17 +71,35 @@ _ends_wide = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}　-〿＀-￯]$")
 _starts_wide = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}　-〿＀-￯]")
 
 
+class _Keys(dict):
+    """What becomes of each character in a key; found once."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = _not_letter.sub("", chr(c).translate(SYMBOLS))
+        return self[c]
+
+
+KEYS = _Keys()
+
+
 def bare(line: str) -> str:
     return line.replace("\x0c", "").strip()
 
 
 def key(line: str) -> str:
     """A header's text without its page number, case, spacing, marks and symbols that are misread letters."""
+    return _known_key(line) if len(line) <= 256 else _key(line)
+
+
+def _key(line: str) -> str:
     t = bare(line)
     if _apart.search(t) and (m := ATTACHED.match(t)) is not None:
         t = m.group("t") or m.group("u")
-    t = unicodedata.normalize("NFKC", t).casefold()
-    return _not_letter.sub("", t.translate(SYMBOLS))
+    return unicodedata.normalize("NFKC", t).casefold().translate(KEYS)
+
+
+#: A document's short lines are asked for several times.
+_known_key = lru_cache(4096)(_key)
 
 
 def page_numbers(lines: list[str]) -> set[int]:
@@ -83,7 +107,7 @@ def page_numbers(lines: list[str]) -> set[int]:
     found, plain = set(), []
     for i, line in enumerate(lines):
         t = bare(line)
-        if not t:
+        if not t or not _number_first.match(t):
             continue
         if DECORATED.fullmatch(t):
             found.add(i)
@@ -225,41 +249,73 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     Characters are also counted in texts that weren't scanned (clean), and in scanned ones within a line (inside)."""
     words: Counter = Counter()
-    grams: Counter = Counter()
-    clean: Counter = Counter()
-    inside: Counter = Counter()
+    grams: list[np.ndarray] = []  # (a, b and c in one number, n, clean, inside) in columns
 
     def flush():
         w = pd.DataFrame({"kind": "w", "x": list(words.keys()), "c": "", "n": list(words.values()), "clean": 0, "inside": 0})
-        han = [a for a in grams.keys() | clean.keys() if a[1] > "ɏ" and (a[1].isalpha() or unicodedata.category(a[1])[0] == "M")]
+        words.clear()
+        all_ = _gathered(grams)
+        grams.clear()
+        a, c, x = all_[0] >> 42, (all_[0] >> 21) & 0x1FFFFF, all_[0] & 0x1FFFFF
+        marks = [k for k in np.unique(c).tolist() if chr(k).isalpha() or unicodedata.category(chr(k))[0] == "M"]
+        kept = np.isin(c, marks)
+        sides = _text(np.stack([a, x], axis=1)[kept].ravel())
         g = pd.DataFrame({
-            "kind": "g", "x": [a[0] + a[2] for a in han], "c": [a[1] for a in han], "n": [grams[a] + clean[a] for a in han],
-            "clean": [clean[a] for a in han], "inside": [inside[a] for a in han],
+            "kind": "g", "x": [sides[i : i + 2] for i in range(0, len(sides), 2)], "c": list(_text(c[kept])), "n": all_[1][kept],
+            "clean": all_[2][kept], "inside": all_[3][kept],
         })
-        for counts in (words, grams, clean, inside):
-            counts.clear()
-        return [x for x in (w, g) if len(x)]
+        return [y for y in (w, g) if len(y)]
 
     for b in batches:
+        texts: dict[bool, list[str]] = {False: [], True: []}
         for t, scanned in zip(b["content"], b["scanned"]):
-            for line in t.split("\n"):
-                line = line.rstrip()
-                found = WORD.findall(line.lower())
-                if found and line and line[-1] in HYPHENS:
-                    found = found[:-1]
-                words.update(found)
-            if not _beyond_latin.search(t):
-                continue
-            joined = t.replace("\n", "").replace("\x0c", "")
-            (grams if scanned else clean).update(zip(joined, joined[1:], joined[2:]))
+            if _ends_with_hyphen.search(t) is None:
+                words.update(WORD.findall(t.lower()))
+            else:
+                for line in t.split("\n"):
+                    line = line.rstrip()
+                    here = WORD.findall(line.lower())
+                    words.update(here[:-1] if here and line[-1] in HYPHENS else here)
+            if _beyond_latin.search(t):
+                texts[bool(scanned)].append(t.replace("\x0c", ""))
+        for scanned, part in ((k, p) for k, v in texts.items() for p in portions(v)):
+            whole = _neighbours([t.replace("\n", "") for t in part])
+            at, n = np.unique(whole, return_counts=True)
+            grams.append(np.stack([at, n, n * (not scanned), n * 0]))
             if scanned:
-                for line in t.replace("\x0c", "").split("\n"):
-                    inside.update(zip(line, line[1:], line[2:]))
-        if len(words) + len(grams) + len(clean) > 1_000_000:
-            yield from flush()
+                at, n = np.unique(_neighbours(["\n".join(part)], LF), return_counts=True)
+                grams.append(np.stack([at, n * 0, n * 0, n]))
+        if len(words) + sum(g.shape[1] for g in grams) > 1_000_000:
+            grams[:] = [_gathered(grams)]
+            if len(words) + grams[0].shape[1] > 1_000_000:
+                yield from flush()
     yield from flush()
 
 
+def _neighbours(texts: list[str], apart: int = -1) -> np.ndarray:
+    """All neighbouring three characters of each text in one number, where the middle one is beyond Latin script and none is ``apart``."""
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    kept = (c[1:-1] > ord("ɏ")) & (owner[:-2] == owner[2:])
+    if apart >= 0:
+        kept &= (c[:-2] != apart) & (c[2:] != apart)
+    return ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[kept]
+
+
+def _gathered(grams: list[np.ndarray]) -> np.ndarray:
+    """The sums of the counts of equal numbers."""
+    if not grams:
+        return np.zeros((4, 0), dtype=np.int64)
+    rows = np.concatenate(grams, axis=1)
+    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    starts = np.nonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))[0] if rows.shape[1] else np.zeros(0, np.int64)
+    return np.concatenate([rows[:1, starts], np.add.reduceat(rows[1:], starts, axis=1)]) if len(starts) else rows
+
+
+def _text(c: np.ndarray) -> str:
+    return c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _value(s: str) -> int:
     """The anagram hash: a sum of characters' values, so that exchanging one for another adds their difference."""
     total = sum(xxhash.xxh64_intdigest(c) for c in s) & 0xFFFFFFFFFFFFFFFF

@@ -2,8 +2,10 @@
 
 import json
 import random
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +235,33 @@ def test_misread_common_characters(spark):
     assert got == {(3000 + i, 1) for i in range(len(wrong))}
 
 
+def test_counts_of_words_and_neighbours(monkeypatch):
+    """Counts over arrays equal counts one by one; a key is made once for a line that comes again."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("我们好的是ab- \n\n\x0c1é后ก") for _ in range(rnd.randint(0, 60))) for _ in range(300)] + ["我", "", "𠀀我们\n好"]
+    rows = pd.DataFrame({"content": texts, "scanned": [i % 2 == 0 for i in range(len(texts))]})
+    want = {}
+    for t, scanned in zip(texts, rows["scanned"]):
+        plain = t.replace("\x0c", "")
+        whole, lines = plain.replace("\n", ""), plain.split("\n") if scanned else []
+        for k, part in [("whole", whole), *(("inside", line) for line in lines)]:
+            for a, c, x in zip(part, part[1:], part[2:]):
+                if c in "我们好的是后ก𠀀":
+                    n = want.setdefault((a + x, c), [0, 0, 0])
+                    n[0] += k == "whole"
+                    n[1] += k == "whole" and not scanned
+                    n[2] += k == "inside"
+    monkeypatch.setattr(scans, "portions", lambda v: ngram.portions(v, 200))
+    got = pd.concat(list(scans._words(iter([rows[:100], rows[100:]]))))
+    assert {(r.x, r.c): [r.n, r.clean, r.inside] for r in got[got["kind"] == "g"].itertuples()} == want
+    words = dict(zip(got[got["kind"] == "w"]["x"], got[got["kind"] == "w"]["n"]))
+    lines = [line.rstrip() for t in texts for line in t.split("\n")]
+    assert words == Counter(w for s in lines for w in (scans.WORD.findall(s)[:-1] if s[-1:] in scans.HYPHENS and s else scans.WORD.findall(s)))
+    made = []
+    monkeypatch.setattr(scans.unicodedata, "normalize", lambda form, t: made.append(t) or t)
+    assert [scans.key("Ein Titel 8 zweimal") for _ in range(3)] == ["eintitelbzweimal"] * 3 and len(made) == 1
+
+
 # --- 6
 
 

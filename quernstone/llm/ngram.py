@@ -29,26 +29,26 @@ def portions(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in one array, each with two starts before and one end after, and where each begins."""
-    parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
     begin = np.cumsum(lengths + 3) - (lengths + 3) + 2
-    out = np.full(int((lengths + 3).sum()), START, dtype=np.uint64)
-    if len(parts):
-        at = np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
-        out[at] = np.concatenate(parts) if len(parts) else []
-        out[begin + lengths] = END
-    return out, begin
+    between = chr(END) + chr(START) * 2
+    whole = between[1:] + between.join(texts) + between[:1] if len(texts) else ""
+    return np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64), begin
 
 
 def hashes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the 1-, 2- and 3-gram that end at each place from the third on."""
     a, b, x = c[:-2], c[1:-1], c[2:]
-    one = (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS[0])
-    two = ((x + b * np.uint64(0x100000001B3)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS[1])
-    three = ((x + b * np.uint64(0x100000001B3) + a * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(
-        64 - BUCKETS[2]
-    )
-    return one.astype(np.int64), two.astype(np.int64), three.astype(np.int64)
+    one = x * np.uint64(0x9E3779B97F4A7C15)
+    two = b * np.uint64(0x100000001B3)
+    two += x
+    three = a * np.uint64(0xC2B2AE3D27D4EB4F)
+    three += two
+    two *= np.uint64(0x9E3779B97F4A7C15)
+    three *= np.uint64(0x9E3779B97F4A7C15)
+    for h, bits in zip((one, two, three), BUCKETS):
+        h >>= np.uint64(64 - bits)
+    return one.view(np.int64), two.view(np.int64), three.view(np.int64)
 
 
 class Model:
@@ -60,21 +60,24 @@ class Model:
         self.weight = weight
 
     def logp(self, c: np.ndarray, h: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        one, two, three = h
         k = self.weight
-        p1 = (self.counts[0][one] + k / 4000) / (self.total + k)
-        before1 = np.concatenate([[0], self.counts[0][one][:-1]]) if len(one) else one
-        p2 = (self.counts[1][two] + k * p1) / (np.maximum(before1, self.counts[1][two]) + k)
-        before2 = np.concatenate([[0], self.counts[1][two][:-1]]) if len(two) else two
-        p3 = (self.counts[2][three] + k * p2) / (np.maximum(before2, self.counts[2][three]) + k)
-        return np.log(p3)
+        p = ((self.counts[0] + k / 4000) / (self.total + k))[h[0]]
+        before = self.counts[0][h[0]]
+        for counts, at in zip(self.counts[1:], h[1:]):
+            n = counts[at]
+            under = n.astype(np.float64)
+            np.maximum(before[:-1], n[1:], out=under[1:])
+            under += k
+            p = (p * k + n) / under
+            before = n
+        return np.log(p, out=p)
 
 
 def count_texts(texts: list[str]) -> list[np.ndarray]:
     c, _ = codes(texts)
     h = hashes(c) if len(c) > 2 else (np.zeros(0, np.int64),) * 3
-    real = c[2:] != START
-    return [np.bincount(x[real], minlength=1 << b) for x, b in zip(h, BUCKETS)]
+    start = np.nonzero(c[2:] == START)[0]
+    return [np.bincount(x, minlength=1 << b) - np.bincount(x[start], minlength=1 << b) for x, b in zip(h, BUCKETS)]
 
 
 Tables = list[np.ndarray]

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.ngram import Model, codes, count_labels, fit, hashes, portions, train
+from quernstone.llm.ngram import END, START, Model, codes, count_labels, fit, hashes, portions, train
 from quernstone.session import cut, spread
 
 #: Stand-ins for no value, fixed values.
@@ -125,20 +125,39 @@ def sentences(text: str) -> list[str]:
     return list(each_sentence(text))
 
 
+_script_names = (*_scripts, None)
+_script_numbers = np.full(0x110000, 255, dtype=np.uint8)
+
+
+def scripts(texts: list[str]) -> list[str | None]:
+    """The language that the scripts of each text name, 'latin' for one of several, None without letters."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(c):
+        return [None] * len(texts)
+    for x in np.unique(c[_script_numbers[c] == 255]).tolist():
+        _script_numbers[x] = next((i for i, p in enumerate(_scripts.values()) if p.match(chr(x))), len(_scripts))
+    kind, own = _script_numbers[c], np.repeat(np.arange(len(texts)), size)
+    latin = list(_scripts).index("latin")
+    # of Latin script, words count
+    counted = kind < len(_scripts)
+    counted[1:] &= (kind[1:] != latin) | (kind[:-1] != latin) | (own[1:] != own[:-1])
+    n = np.bincount(own[counted] * len(_scripts) + kind[counted], minlength=len(texts) * len(_scripts)).reshape(-1, len(_scripts))
+    ja, zh = list(_scripts).index("ja"), list(_scripts).index("zh")
+    n[:, latin] *= 2  # a word counts like two characters of a script without spaces
+    mixed = (n[:, ja] > 0) & (n[:, ja] * 8 >= n[:, zh])
+    chinese = (n[:, zh] * 2 > size) & (n[:, ja] == 0)
+    n[mixed, ja] += n[mixed, zh]
+    n[mixed, zh] = 0
+    best = np.where(chinese, zh, np.where(n.any(1), n.argmax(1), len(_scripts)))
+    return [_script_names[i] for i in best.tolist()]
+
+
 def script(text: str) -> str | None:
-    """The language that the scripts name, 'latin' for one of several, None without letters."""
+    """The same of one text."""
     if text.isascii():
         return "latin" if _ascii_letter.search(text) else None
-    han = len(_scripts["zh"].findall(text))
-    if han * 2 > len(text) and not _scripts["ja"].search(text):
-        return "zh"
-    n = {k: len(p.findall(text)) for k, p in _scripts.items()}
-    n["latin"] *= 2  # a word counts like two characters of a script without spaces
-    if n["ja"] and n["ja"] * 8 >= n["zh"]:
-        n["ja"] += n["zh"]
-        n["zh"] = 0
-    best = max(n, key=n.get)
-    return best if n[best] else None
+    return scripts([text])[0]
 
 
 def undecorated(text: str) -> str:
@@ -189,19 +208,32 @@ class Judge:
         h = hashes(c)
         return {k: float(m.logp(c, h)[:-1].sum()) for k, m in self.languages.items()}
 
-    def prepare(self, texts: list[str]) -> None:
-        """Score all texts in Latin script at once."""
-        self.said = {t: (script(t), {}) for t in texts}
-        latin = [t for t, (s, _) in self.said.items() if s == "latin"]
+    def prepare(self, texts: list[str], titles: list[str | None]) -> None:
+        """Tell the scripts of all texts, and score the new titles, and the texts of titles, in Latin script at once."""
+        if len(self.asked) > 50_000:
+            self.asked.clear()
+        new = [t for t in dict.fromkeys(titles) if t and t not in self.asked]
+        bare = [_bracketed.sub("", t) for t in new]
+        self.asked |= zip(new, self._languages(bare, scripts(bare), whole=False))
+        self.said = {t: (s, {}) for t, s in zip(texts, scripts(texts))}
+        # only languages in Latin script are compared by scores
+        latin = list({x: None for x, t in zip(texts, titles) if t and self.said[x][0] == "latin" and self.asked[t][1]})
+        self.said |= zip(latin, self._languages(latin, ["latin"] * len(latin)))
+
+    def _languages(self, texts: list[str], told: list[str | None], whole: bool = True) -> list[tuple[str | None, dict[str, float]]]:
+        """The language of each text of a script that is told, with its scores, of its end too if ``whole``, where that is Latin."""
+        out: list[tuple[str | None, dict[str, float]]] = [(s, {}) for s in told]
+        latin = [i for i, s in enumerate(told) if s == "latin"]
         if not latin or not self.languages:
-            return
-        c, begin = codes([_not_latin_text.sub(" ", t.lower()) for t in latin])
+            return out
+        c, begin = codes([_not_latin_text.sub(" ", texts[i].lower()) for i in latin])
         h = hashes(c)
-        real = c[2:] != 2
+        real = (c[2:] != START) & (whole | (c[2:] != END))
         sums = {k: np.add.reduceat(np.where(real, m.logp(c, h), 0.0), begin - 2) for k, m in self.languages.items()}
-        for i, t in enumerate(latin):
-            scores = {k: float(x[i]) for k, x in sums.items()}
-            self.said[t] = (max(scores, key=scores.get), scores)
+        for i, x in zip(latin, zip(*(x.tolist() for x in sums.values()))):
+            scores = dict(zip(sums, x))
+            out[i] = (max(scores, key=scores.get), scores)
+        return out
 
     def language(self, text: str) -> tuple[str | None, dict[str, float]]:
         s = script(text)
@@ -481,7 +513,9 @@ def cluster_openings(opened: DataFrame, least: float = 0.5) -> DataFrame:
 
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, cluster): connected components of (id, first) by the smallest label, to a fix-point."""
-    both = cut(links.union(links.select("first", "id")).distinct().toDF("id", "to"))
+    # both directions of a link from one row: a union would make the links twice
+    ways = F.array(F.struct("id", F.col("first").alias("to")), F.struct(F.col("first").alias("id"), F.col("id").alias("to")))
+    both = cut(links.select(F.explode(ways).alias("way")).select("way.id", "way.to").distinct())
     labels = nodes.select("id", F.col("id").alias("cluster"))
     while True:
         offered = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("cluster").alias("low"))
@@ -580,7 +614,7 @@ def judge_pairs(answers: DataFrame, questions: DataFrame, bad_titles: DataFrame,
         for b in batches:
             texts, titles = b["text"].tolist(), b["title"].tolist()
             refusing = judge.refuses(texts)
-            judge.prepare(texts)
+            judge.prepare(texts, titles)
             out = []
             for text, title, no in zip(texts, titles, refusing):
                 if is_empty(text):

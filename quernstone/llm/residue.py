@@ -59,7 +59,11 @@ SURE = (
 UNSURE = r"\[\s*([^\[\]\n]{1,40}?)\s*\]|【\s*([^【】\n]{1,40}?)\s*】|<\s*([^<>\n/]{1,40}?)\s*>"
 _seeds = regex.compile("|".join(regex.escape(s) for s in sorted(FILLER + NOTICES, key=len, reverse=True)), regex.IGNORECASE)
 _filler_seed = regex.compile("|".join(regex.escape(s) for s in sorted(FILLER, key=len, reverse=True)), regex.IGNORECASE)
+_seed_texts = sorted({s.casefold() for s in FILLER + NOTICES}, key=len)
+_seed_texts = [s for i, s in enumerate(_seed_texts) if not any(x in s for x in _seed_texts[:i])]
+_dotless = regex.compile("[\u0130\u0131]")
 _letters = regex.compile(r"[\p{L}\p{N}]")
+_four_letters = regex.compile(r"(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]){4}")
 _repeat = regex.compile(r"^\W*(.{1,12}?)(?:\W*\1){3,}\W*.{0,3}$", regex.DOTALL)
 
 
@@ -94,14 +98,17 @@ def placeholders(rows: DataFrame) -> DataFrame:
 
 def seed_label(text: str) -> str | None:
     """'filler' or 'notice' where seed phrases or one repeated string make up most of the text."""
-    n = len(_letters.findall(text))
-    if n == 0:
+    if not _letters.search(text):
         return None
-    if n >= 4 and _repeat.match(text.strip()):
+    if _four_letters.match(text) and _repeat.match(text.strip()):
         return "filler"
+    folded = text.casefold()
+    # most fields hold no seed phrase at all; the dotless i is folded by the pattern only
+    if not any(x in folded for x in _seed_texts) and not _dotless.search(text):
+        return None
+    found = [m.group() for m in _seeds.finditer(text)]
     # digits belong to whatever they stand beside
     words = len(_any_letter.findall(text))
-    found = [m.group() for m in _seeds.finditer(text)]
     covered = sum(len(_any_letter.findall(f)) for f in found)
     if words == 0 or covered < 0.7 * words:
         return None
@@ -115,7 +122,8 @@ def _bootstrap(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([seed_label(t) for t in texts], dtype=object)
+            known = {t: seed_label(t) for t in dict.fromkeys(texts)}
+            yield pd.Series([known[t] for t in texts], dtype=object)
 
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{IsLatin}]{2,}|[a-z;]{4,}"), F.lit(0)))
     # a word is odd if it is far commoner in fields than in prose, whatever the sizes of both
@@ -145,6 +153,15 @@ def _plain(text: str) -> str:
     return _digits.sub("0", text.lower())
 
 
+_KEYS = np.frombuffer("asdfghjkl;qwertyuiopzxcvbnm ".encode("utf-32-le"), dtype=np.uint32)
+
+
+def _alphanumeric(char: np.ndarray) -> np.ndarray:
+    """str.isalnum of each code point."""
+    few, at = np.unique(char, return_inverse=True)
+    return np.array([chr(x).isalnum() for x in few.tolist()], dtype=bool)[at]
+
+
 class Detector:
     """Coverage of a text by windows in which residue is likelier than prose."""
 
@@ -153,46 +170,51 @@ class Detector:
 
     def coverage(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(share covered, whether notices explain the residue better than filler) of each text."""
-        plain = [_plain(t) for t in texts]
-        c, begin = codes(plain)
         share, notice = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
-        if not len(texts) or "prose" not in self.models:
+        # equal texts are scored once
+        place, plain = pd.factorize(np.array([_plain(t) for t in texts], dtype=object))
+        kept = np.array([i for i, t in enumerate(plain) if t], dtype=np.int64)
+        if not len(kept) or "prose" not in self.models:
             return share, notice
+        own_share, own_notice = np.zeros(len(plain)), np.zeros(len(plain), dtype=bool)
+        own_share[kept], own_notice[kept] = self._coverage([plain[i] for i in kept])
+        return own_share[place], own_notice[place]
+
+    def _coverage(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts that aren't empty, all in one array."""
+        c, begin = codes(plain)
         h = hashes(c)
-        prose = self.models["prose"].logp(c, h)
-        ratios = []
+        size = np.array([len(t) for t in plain], dtype=np.int64)
+        first = np.cumsum(size) - size
+        own = np.arange(int(size.sum())) + np.repeat(begin - 2 - first, size)  # without the starts and ends
+        char = c[2:][own].astype(np.int64)
+        prose = self.models["prose"].logp(c, h)[own]
+        letters = _alphanumeric(char)
+        covered = np.zeros(len(char), dtype=bool)
+        left = np.repeat(first + size, size) - np.arange(len(char))
+        sums = []
         for name in ("filler", "notice"):
             if (m := self.models.get(name)) is None:
-                ratios.append(np.full(len(prose), -9.0))
-                continue
-            logp = m.logp(c, h)
-            if name == "filler":  # keys struck at random: letters of one row of the keyboard are equally likely
-                struck = np.isin(c[2:], np.frombuffer("asdfghjkl;qwertyuiopzxcvbnm ".encode("utf-32-le"), dtype=np.uint32))
-                logp = np.logaddexp(logp + np.log(0.8), np.where(struck, np.log(0.2 / 28), -20))
-            ratios.append(np.clip(logp - prose, -6, 6))
-        for i, t in enumerate(plain):
-            if not t:
-                continue
-            a = begin[i] - 2
-            e = a + len(t)
-            letters = np.fromiter((ch.isalnum() for ch in t), dtype=bool, count=len(t))
-            if not letters.any():
-                continue
-            covered = np.zeros(len(t), dtype=bool)
-            sums = []
-            for r in ratios:
-                x = r[a:e]
-                w = min(WINDOW, len(x))
-                mean = np.convolve(x, np.ones(w) / w, mode="valid")
-                inside = np.zeros(len(t) + 1, dtype=np.int64)
-                inside[: len(mean)] += mean > 0
-                inside[w : w + len(mean)] -= mean > 0
-                covered |= np.cumsum(inside)[:-1] > 0
-                sums.append(x.sum())
-            # as a whole the field must be likelier as residue too
-            share[i] = (covered & letters).sum() / letters.sum() if max(sums) > 0 else 0
-            notice[i] = sums[1] > sums[0]
-        return share, notice
+                ratio = np.full(len(prose), -9.0)
+            else:
+                logp = m.logp(c, h)[own]
+                if name == "filler":  # keys struck at random: letters of one row of the keyboard are equally likely
+                    logp = np.logaddexp(logp + np.log(0.8), np.where(np.isin(char, _KEYS), np.log(0.2 / 28), -20))
+                ratio = np.clip(logp - prose, -6, 6)
+            sums.append(np.add.reduceat(ratio, first))
+            mean = np.zeros(len(ratio))
+            for k in range(min(WINDOW, len(ratio))):
+                mean[: len(ratio) - k] += ratio[k:] * (1 / WINDOW)
+            begins = np.nonzero((mean > 0) & (left >= WINDOW))[0]
+            inside = np.zeros(len(ratio) + 1, dtype=np.int64)
+            inside[begins] += 1
+            inside[begins + WINDOW] -= 1
+            covered |= np.cumsum(inside)[:-1] > 0
+            covered |= np.repeat((size < WINDOW) & (sums[-1] > 0), size)  # a short text is one window
+        n = np.add.reduceat(letters.astype(np.int64), first)
+        # as a whole the field must be likelier as residue too
+        share = np.where(np.maximum(*sums) > 0, np.add.reduceat((covered & letters).astype(np.int64), first) / np.maximum(n, 1), 0)
+        return share, (sums[1] > sums[0]) & (n > 0)
 
 
 def _scored(rows: DataFrame, models: dict[str, Model], then: str) -> DataFrame:
@@ -211,15 +233,16 @@ def _scored(rows: DataFrame, models: dict[str, Model], then: str) -> DataFrame:
     )
 
 
-def residue(questions: DataFrame, corpus: DataFrame) -> DataFrame:
+def residue(questions: DataFrame, corpus: DataFrame, wanted: tuple[str, ...] = ("title", "description")) -> DataFrame:
     """(question_id, field_name, kind, coverage) of the fields to exclude; kind is 'placeholder', 'filler' or 'notice'.
 
     ``corpus`` holds further natural prose in a column ``text``.  Null fields are no rows and blank fields no cases;
     repeated rows come out as often as they occur; an empty table gives an empty result; long fields are read whole;
-    further columns don't take part."""
+    further columns don't take part.  Only fields of ``wanted`` names come out; all of them teach the models."""
     rows = cut(fields(questions))
     corpus = corpus.where("text is not null").select("text")
-    template = placeholders(rows).withColumn("template", F.lit(True))
+    is_wanted = F.col("field_name").isin(*wanted)
+    template = placeholders(rows).where(is_wanted).withColumn("template", F.lit(True))
     seeded = _bootstrap(rows, corpus)
     number = lambda c: F.regexp_replace(F.lower(c), r"\p{N}+", "0")
     extra = {"filler": [_plain(s) for s in FILLER] * 3, "notice": [_plain(s) for s in NOTICES] * 3}
@@ -233,6 +256,6 @@ def residue(questions: DataFrame, corpus: DataFrame) -> DataFrame:
 
     first = fitted(seeded)
     second = fitted(_scored(rows, first, "label"))
-    final = _scored(rows, second, "kind").join(template, ["question_id", "field_name"], "left")
+    final = _scored(rows.where(is_wanted), second, "kind").join(template, ["question_id", "field_name"], "left")
     kind = F.when(F.col("template"), F.lit("placeholder")).otherwise(F.col("kind"))
     return final.select("question_id", "field_name", kind.alias("kind"), F.round("coverage", 4).alias("coverage")).where("kind != 'prose'")

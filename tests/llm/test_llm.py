@@ -191,6 +191,33 @@ def test_quick_ways_of_checks(spark):
     assert everywhere.sum() == 6 + 1 + 0 + 0 + 1 and everywhere[pairs.end_hash("abcd")] == 2 == blank[pairs.end_hash("abcd")] and blank.sum() == 4
 
 
+def test_links_are_made_once(spark, tmp_path):
+    def made(batches):
+        for b in batches:
+            for _ in range(len(b)):
+                (tmp_path / f"{random.SystemRandom().getrandbits(64)}").touch()
+            yield b
+
+    links = spark.createDataFrame([(2, 1), (3, 2), (5, 4)], "id bigint, first bigint").mapInPandas(made, "id bigint, first bigint")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 7)], "id bigint")
+    assert dict(pairs._components(nodes, links).collect()) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_languages_of_many_texts():
+    texts = ["", "walk", "home 12", "你好世界 hello", "你好 hello there", "12 34", "本当にそれでいいの", "私は日本語日本語日本語日本語日本語日本語日本語の", "Привет", "안녕", "नमस्ते", "\ud800", "é"]
+    told = [None, "latin", "latin", "zh", "latin", None, "ja", "zh", "ru", "ko", "hi", None, "latin"]
+    assert pairs.scripts(texts) == told == [pairs.script(t) for t in texts] and pairs.scripts([]) == []
+    words = {"en": "walk home slowly and breathe ", "de": "geh langsam nach hause und atme "}
+    judge = pairs.Judge({k: ngram.Model(ngram.count_texts([t * 20])) for k, t in words.items()}, {}, ())
+    titles = ["walk and breathe", "atme langsam (messages 3)", "你好世界", None]
+    judge.prepare(["geh langsam", "walk home", "geh nach hause", "walk slowly"], titles)
+    assert {t: k for t, (k, _) in judge.asked.items()} == {t: judge.language(t)[0] for t in titles if t} == dict(zip(titles, ["en", "de", "zh"]))
+    assert all(judge.asked[titles[0]][1][k] == pytest.approx(v) for k, v in judge.latin(titles[0]).items())
+    assert [bool(scores) for _, scores in judge.said.values()] == [True, True, False, False]
+    assert judge.other_language(titles[0], "geh langsam") and not judge.other_language(titles[1], "geh langsam nach hause")
+
+
 # --- 5
 
 
@@ -276,6 +303,31 @@ def test_residue(spark):
     assert residue.residue(q.limit(0), corpus).count() == 0
 
 
+def test_wanted_fields(spark):
+    """Fields that aren't wanted teach the models and the names all the same."""
+    rows = [(i, f"How do I sleep well on night {i}?", "I lie awake and walk about the house.") for i in range(40)]
+    rows += [(100, "lorem ipsum dolor sit amet", "404 not found"), (101, "Dear [mood_word]", "so {{mood_word}} today"), (102, None, "lorem ipsum")]
+    questions = spark.createDataFrame(rows, "id bigint, title string, description string")
+    corpus = spark.createDataFrame([("Sit down and breathe, then sleep comes.",)] * 20, "text string")
+    titles = residue.residue(questions, corpus, ("title",)).collect()
+    assert sorted(titles) == sorted(residue.residue(questions, corpus).where("field_name = 'title'").collect())
+    assert {r.question_id: r.kind for r in titles} == {100: "filler", 101: "placeholder"}
+
+
+def test_equal_fields_are_scored_once(monkeypatch):
+    count = lambda *t: ngram.Model(ngram.count_texts([*t] * 9))
+    detector = residue.Detector({"prose": count("walk home slowly"), "filler": count("lorem ipsum"), "notice": count("page not found")})
+    texts = ["Lorem ipsum 1", "walk home", "", "!?", "lorem ipsum 22", "walk home", "lorem", "page not found page not found, walk home"]
+    alone = [detector.coverage([t]) for t in texts]
+    scored, codes = [], residue.codes
+    monkeypatch.setattr(residue, "codes", lambda t: scored.extend(t) or codes(t))
+    share, notice = detector.coverage(texts)
+    assert sorted(scored) == ["!?", "lorem", "lorem ipsum 0", "page not found page not found, walk home", "walk home"]
+    assert share.tolist() == [s[0] for s, _ in alone] and share[0] == share[4] == share[6] == 1 and share[1] == share[2] == share[3] == 0
+    assert notice.tolist() == [n[0] for _, n in alone] and 0 < share[7] < 1
+    assert [residue.seed_label(t) for t in ["Lorem Ipsum!", "404: Page not found", "abababab", "walk home", "12", "?", "ERROR"]] == ["filler", "notice", "filler", None, None, None, "notice"]
+
+
 def test_filler_of_repeated_words(spark):
     rnd = random.Random(3)
     prose = [a + b for a in ("walk", "talk", "wait", "rest") for b in ("ing", "ed", "er", "s", "")]

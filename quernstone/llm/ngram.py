@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: log2 of the number of buckets of 1-, 2- and 3-grams: the bound of a model's size, whatever the corpus's.
 BUCKETS = (13, 16, 18)
 START, END = 2, 3
+#: How many characters are counted at once, about: their arrays stay in the processor's cache.
+PORTION = 1 << 18
 
 
 def portions(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
@@ -83,6 +85,13 @@ def count_texts(texts: list[str]) -> list[np.ndarray]:
 Tables = list[np.ndarray]
 
 
+def count_into(tables: Tables, texts: list[str]) -> None:
+    """Add the counts of any number of texts to ``tables``, by arrays of bounded size."""
+    for part in portions(texts, PORTION):
+        for t, n in zip(tables, count_texts(part)):
+            t += n
+
+
 def count_labels(labelled: DataFrame) -> dict[str, Tables]:
     """The counts of every label of (label, text), over all rows.
 
@@ -92,9 +101,7 @@ def count_labels(labelled: DataFrame) -> dict[str, Tables]:
         sums: dict[str, Tables] = {}
         for b in batches:
             for label, g in b.groupby("label"):
-                new = count_texts(g["text"].tolist())
-                have = sums.get(label)
-                sums[label] = new if have is None else [x + y for x, y in zip(have, new)]
+                count_into(sums.setdefault(label, [np.zeros(1 << b, dtype=np.int64) for b in BUCKETS]), g["text"].tolist())
         for label, tables in sums.items():
             for order, t in enumerate(tables):
                 at = np.nonzero(t)[0]

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.ngram import END, START, Model, codes, count_labels, fit, hashes, portions, train
+from quernstone.llm.ngram import END, PORTION, START, Model, codes, count_labels, fit, hashes, portions, train
 from quernstone.session import cut, spread
 
 #: Stand-ins for no value, fixed values.
@@ -546,10 +546,13 @@ def _refusal_models(rows: DataFrame) -> dict[str, Model]:
     @F.pandas_udf("double")
     def ratio(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            c, begin = codes(texts.tolist())
-            h = hashes(c)
-            r = np.clip(shared.value["refusal"].logp(c, h) - shared.value["prose"].logp(c, h), -5, 5)
-            yield pd.Series(np.add.reduceat(r, begin - 2) if len(texts) else [], dtype=float)
+            sums = [np.zeros(0)]
+            for part in portions(texts.tolist(), PORTION):
+                c, begin = codes(part)
+                h = hashes(c)
+                r = np.clip(shared.value["refusal"].logp(c, h) - shared.value["prose"].logp(c, h), -5, 5)
+                sums.append(np.add.reduceat(r, begin - 2))
+            yield pd.Series(np.concatenate(sums))
 
     clusters = cut(cluster_openings(opened))
     scored = clusters.withColumn("ratio", ratio("opening"))

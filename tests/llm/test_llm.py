@@ -149,6 +149,17 @@ def test_long_refusals():
     assert judge.refuses([long + " " + prose[0], prose[0] + " " + long, " ".join(prose * 5)]) == [False] * 3
 
 
+def test_counts_in_portions(monkeypatch):
+    """Long texts are counted a portion at a time, to the same sums."""
+    texts = [str(i) + "walk home slowly. " * 2_000 for i in range(30)] + [""]
+    want, sizes, count = ngram.count_texts(texts), [], ngram.count_texts
+    monkeypatch.setattr(ngram, "count_texts", lambda part: sizes.append(sum(map(len, part))) or count(part))
+    tables = [np.zeros(1 << b, dtype=np.int64) for b in ngram.BUCKETS]
+    ngram.count_into(tables, texts)
+    assert all((x == y).all() for x, y in zip(tables, want)) and sum(sizes) == sum(map(len, texts))
+    assert len(sizes) > 3 and max(sizes) < ngram.PORTION + 40_000
+
+
 @pytest.mark.parametrize("block", [pairs.BLOCK, 8])
 def test_openings_are_linked_wholly(spark, monkeypatch, block):
     """The clusters are the components of all links of Jaccard 0.5, however many openings hold a shingle."""

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.functions import text
+from quernstone.functions import scoring, text
 from quernstone.operators import ranking, retrieval
 from quernstone.plans import search_queries
 
@@ -32,6 +32,18 @@ def test_lexical(both, monkeypatch, tokens):
     assert ranking.lexical(q, d.limit(0), "id", 4, tokens).count() == 0
 
 
+def test_normalised(both, monkeypatch):
+    for name, n in (("TILE", 5), ("QUERIES", 4), ("ASKED", 3), ("SENT", 7)):
+        monkeypatch.setattr(ranking, name, n)
+    q, d = both
+    q = q.unionByName(q.withColumn("query_id", F.col("query_id") + 100))
+    s = retrieval.lexical_scores(q, d, "id")
+    want = s.select("query_id", "id", F.round(scoring.max_normalised(F.col("score"), "query_id"), 4))
+    assert sorted(map(tuple, ranking.normalised(q, d, "id").collect())) == sorted(map(tuple, want.collect()))
+    assert ranking.normalised(q.limit(0), d, "id").count() == 0
+    assert ranking.normalised(q, d.limit(0), "id").count() == 0
+
+
 def test_bm25(both, monkeypatch):
     monkeypatch.setattr(ranking, "QUERIES", 4)
     q, d = both
